@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import licenses, quality, secrets
 from .common import cut
 
 
@@ -15,6 +15,29 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.detect(_documents(spark, sf_dir).select("doc_id", "text"))
+    spans, base = F.col("secrets"), F.filter("secrets", lambda x: x["rank"] < len(secrets.BASE))
+    of = lambda rank: F.size(F.filter("secrets", _of_rank(rank))).cast("long")
+    return found.select(
+        "doc_id",
+        *(of(i).alias(f"n_{kind}") for i, (kind, *_) in enumerate(secrets.BASE)),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(spans).alias("spans"),
+        of(len(secrets.BASE)).alias("n_entropy"),
+        F.array_max(F.transform(spans, lambda x: x["bits"])).alias("most_bits"),
+    )
+
+
+def _of_rank(rank: int):
+    return lambda x: x["rank"] == rank
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "licenses.*").withColumn("n_found", F.size("found").cast("long")).drop("found")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the features are a few numbers a document, so they are written once and read for the references and for the verdicts
     found = cut(quality.features(_documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("text"))
@@ -22,7 +45,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_rules": op6_quality_rules}
+    return {f.__name__: f for f in (op1_secret_scans, op5_license_scans, op6_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
