@@ -85,9 +85,11 @@ def in_order(df: DataFrame, order: list[Column], group: list[str] = (), add: dic
     by_range = ranged.groupBy(part, *group).agg(F.count("*").alias(n), *(F.sum(c).alias(s) for s, c in zip(sums, add.values(), strict=True)))
     earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # only the first group of a range can have begun in an earlier one
-    carry = by_range.select(part, *group, *(F.sum(c).over(earlier).alias(c) for c in (n, *sums))).where(F.col(n) > 0)
-    keys = [ranged[part].eqNullSafe(carry[part]), *(ranged[g].eqNullSafe(carry[g]) for g in group)]
-    joined = ranged.join(F.broadcast(carry), keys, "left").select(*(ranged[c] for c in ranged.columns), *(carry[c] for c in (n, *sums)))
+    mine = fresh(ranged, part, *group)
+    at = [F.col(c).alias(m) for c, m in zip([part, *group], mine, strict=True)]
+    carry = by_range.select(*at, *(F.sum(c).over(earlier).alias(c) for c in (n, *sums))).where(F.col(n) > 0)
+    keys = [F.col(c).eqNullSafe(F.col(m)) for c, m in zip([part, *group], mine, strict=True)]
+    joined = ranged.join(F.broadcast(carry), keys, "left").drop(*mine)
     inside = Window.partitionBy(part, *group).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(

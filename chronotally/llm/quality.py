@@ -30,9 +30,9 @@ class Limits:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    class_distance: float = 0.45
+    class_distance: float = 0.30
     class_min_chars: int = 400
-    word_distance: float = 0.75
+    word_distance: float = 0.25
     word_min_words: int = 150
 
 

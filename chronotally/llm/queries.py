@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, secrets
+from . import licenses, mixing, packing, quality, secrets, simhash
 from .common import cut
 
 
@@ -33,6 +33,17 @@ def _of_rank(rank: int):
     return lambda x: x["rank"] == rank
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = mixing.sizes(_documents(spark, sf_dir))
+    found = mixing.copies(slim, cut(mixing.targets(slim)), ["size", "id", "hash"])
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(simhash.with_fingerprint(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fingerprint"))
+    return simhash.cluster(found).withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "licenses.*").withColumn("n_found", F.size("found").cast("long")).drop("found")
@@ -44,9 +55,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(found, quality.references(found)).select("doc_id", "quality.*")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op5_license_scans, op6_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op4_simhash_near_duplicates, op5_license_scans, op6_quality_rules, op7_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": mixing.SQL}

@@ -147,7 +147,12 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, joined))
 
 
-def redact_documents(df: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with secrets masked, all of them, with the columns they came with; null text stays null."""
+def redact_documents(df: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """The documents with secrets masked, all of them, with the columns they came with; null text stays null. Where
+    n_chars names a column, it becomes the length of the new text for the documents that change."""
     [found] = fresh(df, "secrets")
-    return detect(df, text, found).withColumn(text, F.when(F.col(text).isNotNull(), redact(F.col(text), F.col(found)))).drop(found)
+    hit = F.size(found) > 0
+    out = detect(df, text, found).withColumn(text, F.when(hit, redact(F.col(text), F.col(found))).otherwise(F.col(text)))
+    if n_chars:
+        out = out.withColumn(n_chars, F.when(hit, F.length(text).cast("long")).otherwise(F.col(n_chars)))
+    return out.drop(found)
