@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, secrets, simhash
-from .common import cut
+from . import licenses, mixing, orc_ids, packing, quality, secrets, sharding, simhash
+from .common import cut, shared_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op9_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(_documents(spark, sf_dir))
+    return found.select("doc_id", "size", F.col("crc32").alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_orc_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    path = shared_path(spark, "token-ids")
+    orc_ids.write(_documents(spark, sf_dir), path, tokenizer, end_id=1)
+    return orc_ids.digest(orc_ids.read(spark, path))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op4_simhash_near_duplicates, op5_license_scans, op6_quality_rules, op7_packing, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op4_simhash_near_duplicates, op5_license_scans, op6_quality_rules, op7_packing, op9_balanced_sharding, op10_orc_token_ids, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
