@@ -50,7 +50,7 @@ def _field(name: str, of: str | None = None, **more: object) -> dict:
 
 
 COUNTED = [_field("bucket_ms", model.TIME), _field("n", model.COUNT)]
-MEASURED = [*COUNTED, _field("v", f"round(${{{model.VALUE}}}, 6)"), _field("mn", model.MIN), _field("mx", model.MAX)]
+MEASURED = [*COUNTED, _field("v", f"round(${{{model.VALUE}}}, 9)"), _field("mn", model.MIN), _field("mx", model.MAX)]
 
 
 def _ask(spark: SparkSession, sf_dir: str, config: StatConfig, expression: dict | None, fields: list[dict], null_errors: bool = False, **more: object) -> DataFrame:
@@ -63,14 +63,14 @@ def _at(*children: dict, precision: str | None = None) -> dict:
 
 
 WEEK = term(model.TIME, "BETWEEN", "2024-01-08T00:00:00.000Z,2024-01-14T23:59:59.999Z")
-WEEK_SQL = "epoch_ms(ts) >= 1704672000000 AND epoch_ms(ts) < 1705276800000"
+WEEK_SQL = "(epoch_us(ts) // 1000) >= 1704672000000 AND (epoch_us(ts) // 1000) < 1705276800000"
 
 
 def _bucket(step: int) -> str:
-    return f"(epoch_ms(ts) // {step}) * {step}"
+    return f"((epoch_us(ts) // 1000) // {step}) * {step}"
 
 
-def _sql(keys: dict[str, str], where: str = "true", table: str = "events", measures: str = "count(*) n, round(sum(value) / count(*), 6) v, min(value) mn, max(value) mx") -> str:
+def _sql(keys: dict[str, str], where: str = "true", table: str = "events", measures: str = "count(*) n, round(sum(value) / count(*), 9) v, min(value) mn, max(value) mx") -> str:
     listed = ", ".join(f"{e} AS {k}" for k, e in keys.items())
     return f"SELECT {listed}, {measures} FROM {table} WHERE {where} GROUP BY {', '.join(map(str, range(1, len(keys) + 1)))}"
 
@@ -88,7 +88,7 @@ def value_hour_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _masked(spark: SparkSession, partials: DataFrame, config: StatConfig, grain: str) -> DataFrame:
     rows = rollup.merge(partials.where((F.col("store") == grain) & (F.col("stat_uuid") == config.uuid)), ["mask", "bucket_ms", *rollup.TAGS[: len(config.fields)]])
     tags = [F.col(rollup.TAGS[i]).alias(f) for i, f in enumerate(config.fields)]
-    return rows.select("mask", "bucket_ms", *tags, F.col("cnt").alias("n"), F.round(rollup.mean(), 6).alias("v"), F.col("least").alias("mn"), F.col("most").alias("mx"))
+    return rows.select("mask", "bucket_ms", *tags, F.col("cnt").alias("n"), F.round(rollup.mean(), 9).alias("v"), F.col("least").alias("mn"), F.col("most").alias("mx"))
 
 
 def rollup_all_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ def _late(events: DataFrame, config: StatConfig) -> DataFrame:
 
 def orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ev.from_table(_table(spark, sf_dir, "orders"), ORDERS.uuid, "o_orderdate", {"status": "o_orderstatus", "priority": "o_orderpriority"}, value=F.col("o_totalprice"))
-    request = {"source_uuid": ORDERS.uuid, "expression": _at(precision="day"), "fields": [*COUNTED, _field("v", f"round(${{{model.VALUE}}}, 4)"), _field("status")]}
+    request = {"source_uuid": ORDERS.uuid, "expression": _at(precision="day"), "fields": [*COUNTED, _field("v", f"round(${{{model.VALUE}}}, 5)"), _field("status")]}
     return search.search(_late(rows, ORDERS), Registry.of(ORDERS), request, NOW)
 
 
@@ -169,10 +169,10 @@ def _dated(condition: str, value: str) -> Query:
 
 
 _PERIODS = {
-    "second": ("2024-01-30T10:00:00.000Z,2024-01-30T10:02:59.999Z", 1_000, "epoch_ms(ts) >= 1706608800000 AND epoch_ms(ts) < 1706608980000"),
-    "minute": ("2024-01-30T09:00:00.000Z,2024-01-30T11:59:59.999Z", 60_000, "epoch_ms(ts) >= 1706605200000 AND epoch_ms(ts) < 1706616000000"),
+    "second": ("2024-01-30T10:00:00.000Z,2024-01-30T10:02:59.999Z", 1_000, "(epoch_us(ts) // 1000) >= 1706608800000 AND (epoch_us(ts) // 1000) < 1706608980000"),
+    "minute": ("2024-01-30T09:00:00.000Z,2024-01-30T11:59:59.999Z", 60_000, "(epoch_us(ts) // 1000) >= 1706605200000 AND (epoch_us(ts) // 1000) < 1706616000000"),
     "hour": ("2024-01-08T00:00:00.000Z,2024-01-14T23:59:59.999Z", 3_600_000, WEEK_SQL),
-    "day": ("2024-01-01T00:00:00.000Z,2024-01-30T23:59:59.999Z", DAY, "epoch_ms(ts) >= 1704067200000 AND epoch_ms(ts) < 1706659200000"),
+    "day": ("2024-01-01T00:00:00.000Z,2024-01-30T23:59:59.999Z", DAY, "(epoch_us(ts) // 1000) >= 1704067200000 AND (epoch_us(ts) // 1000) < 1706659200000"),
     "forever": (None, 9 * 10**18, "true"),
 }
 
@@ -323,12 +323,12 @@ def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumn("again", intervals.full_time(F.col("block"), F.col("place"), i))
 
 
-_CUBE = """SELECT CAST(m.mask AS INTEGER) mask, (epoch_ms(ts) // 3600000) * 3600000 bucket_ms,
+_CUBE = """SELECT CAST(m.mask AS INTEGER) mask, ((epoch_us(ts) // 1000) // 3600000) * 3600000 bucket_ms,
  CASE WHEN mask & 1 <> 0 THEN '<<<<ROLLED_UP>>>>' ELSE event_type END event_type, CASE WHEN mask & 2 <> 0 THEN '<<<<ROLLED_UP>>>>' ELSE CAST(user_id AS VARCHAR) END "user",
- count(*) n, round(sum(value) / count(*), 6) v, min(value) mn, max(value) mx FROM events, (SELECT unnest(range(4)) mask) m GROUP BY 1, 2, 3, 4"""
+ count(*) n, round(sum(value) / count(*), 9) v, min(value) mn, max(value) mx FROM events, (SELECT unnest(range(4)) mask) m GROUP BY 1, 2, 3, 4"""
 _TYPE, _USER, _DAYS = {"event_type": "event_type"}, {'"user"': "user_id::VARCHAR"}, {"bucket_ms": _bucket(DAY)}
 _NULLED = "(SELECT * REPLACE (nullif(event_type, 'error') AS event_type) FROM events)"
-_KEPT = "SELECT 'SECOND' AS store, count(*) AS n FROM events WHERE epoch_ms(ts) >= 1706486400000 UNION ALL SELECT s, count(*) FROM events, (SELECT unnest(['MINUTE', 'HOUR', 'DAY', 'FOREVER']) s) GROUP BY 1"
+_KEPT = "SELECT 'SECOND' AS store, count(*) AS n FROM events WHERE (epoch_us(ts) // 1000) >= 1706486400000 UNION ALL SELECT s, count(*) FROM events, (SELECT unnest(['MINUTE', 'HOUR', 'DAY', 'FOREVER']) s) GROUP BY 1"
 _DAY_SETS = "a AS (SELECT DISTINCT user_id::VARCHAR \"user\", event_type FROM events WHERE ts::DATE = '2024-01-11'), b AS (SELECT DISTINCT user_id::VARCHAR \"user\", event_type FROM events WHERE ts::DATE = '2024-01-10')"
 _SQL: dict[str, str] = {
     "count_minute_none": _sql({"bucket_ms": _bucket(60_000), **_TYPE, **_USER}, measures="count(*) n"),
@@ -337,8 +337,8 @@ _SQL: dict[str, str] = {
     "rollup_all_masks_wide": _CUBE,
     "rollup_custom_masks": """SELECT CAST(m.mask AS INTEGER) mask, (epoch_ms(l_shipdate) // 86400000) * 86400000 bucket_ms,
  CASE WHEN mask & 1 <> 0 THEN '<<<<ROLLED_UP>>>>' ELSE l_linestatus END linestatus, CASE WHEN mask & 2 <> 0 THEN '<<<<ROLLED_UP>>>>' ELSE l_returnflag END returnflag,
- count(*) n, round(sum(l_quantity) / count(*), 6) v, min(l_quantity) mn, max(l_quantity) mx FROM lineitem, (SELECT unnest([0, 1, 3]) mask) m GROUP BY 1, 2, 3, 4""",
-    "orders_by_status": "SELECT (epoch_ms(o_orderdate) // 86400000) * 86400000 bucket_ms, o_orderstatus status, count(*) n, round(sum(o_totalprice) / count(*), 4) v FROM orders GROUP BY 1, 2",
+ count(*) n, round(sum(l_quantity) / count(*), 9) v, min(l_quantity) mn, max(l_quantity) mx FROM lineitem, (SELECT unnest([0, 1, 3]) mask) m GROUP BY 1, 2, 3, 4""",
+    "orders_by_status": "SELECT (epoch_ms(o_orderdate) // 86400000) * 86400000 bucket_ms, o_orderstatus status, count(*) n, round(sum(o_totalprice) / count(*), 5) v FROM orders GROUP BY 1, 2",
     "cascade_day_from_hour": _sql({**_DAYS, **_TYPE}),
     "forever_totals": _sql({"bucket_ms": "0::BIGINT"}),
     "filter_in": _sql(_DAYS, "event_type IN ('click', 'view')"),
@@ -349,20 +349,20 @@ _SQL: dict[str, str] = {
     "filter_rolled_up": _sql({**_DAYS, '"user"': "'<<<<ROLLED_UP>>>>'"}),
     **{k: _sql({**_DAYS, **_TYPE, "precision": "'DAY'"}, f"{_bucket(DAY)} {sql}", measures="count(*) n") for k, (_, _, sql) in _DATES.items()},
     **{f"auto_precision_{k}": _sql({"bucket_ms": _bucket(step) if k != "forever" else "0::BIGINT", "precision": f"'{k.upper()}'"}, f"event_type = 'click' AND {where}") for k, (_, step, where) in _PERIODS.items()},
-    "late_bump_store": "SELECT CASE WHEN epoch_ms(ts) >= 1706486400000 THEN 'SECOND' ELSE 'MINUTE' END AS store, count(*) AS n FROM events GROUP BY 1",
+    "late_bump_store": "SELECT CASE WHEN (epoch_us(ts) // 1000) >= 1706486400000 THEN 'SECOND' ELSE 'MINUTE' END AS store, count(*) AS n FROM events GROUP BY 1",
     "retention_filter": _KEPT,
     "purge_old": _KEPT,
     "partials_merge": _sql({**_DAYS, **_TYPE}),
-    "compacted": """WITH e AS (SELECT epoch_ms(ts) t, event_type a, user_id b FROM events),
+    "compacted": """WITH e AS (SELECT (epoch_us(ts) // 1000) t, event_type a, user_id b FROM events),
  s AS (SELECT * FROM (VALUES ('SECOND', 1000), ('MINUTE', 60000), ('HOUR', 3600000), ('DAY', 86400000), ('FOREVER', 9000000000000000000)) v(store, step)), m AS (SELECT unnest(range(4)) mask),
  k AS (SELECT store, mask::INTEGER mask, t // step, CASE WHEN mask & 1 <> 0 THEN '*' ELSE a END, CASE WHEN mask & 2 <> 0 THEN '*' ELSE b::VARCHAR END, count(*) c FROM e, s, m WHERE store <> 'SECOND' OR t >= 1706486400000 GROUP BY ALL)
  SELECT store, mask, count(*) cells, sum(c)::BIGINT n FROM k GROUP BY ALL""",
     "validate_split": """SELECT CASE WHEN p < 5 THEN 'VALIDATION_ERROR' END error_code, CASE p WHEN 0 THEN 'the event has no time' WHEN 1 THEN 'unknown tags: colour' WHEN 2 THEN 'a VALUE event needs a value'
  WHEN 3 THEN 'no configuration for nosuch' WHEN 4 THEN 'the event has no key' END error_message, count(*) n FROM (SELECT event_id % 10 p FROM events) GROUP BY 1, 2""",
-    "xml_roundtrip": "SELECT event_type, count(*) n, round(sum(value), 4) total, sum(epoch_ms(ts))::BIGINT times FROM events GROUP BY 1",
+    "xml_roundtrip": "SELECT event_type, count(*) n, round(sum(value), 4) total, sum((epoch_us(ts) // 1000))::BIGINT times FROM events GROUP BY 1",
     "json_events": _sql(_DAYS),
-    "event_ids_capped": """SELECT bucket_ms, string_agg(event_id::VARCHAR, ':' ORDER BY event_id) ids FROM (SELECT (epoch_ms(ts) // 86400000) * 86400000 bucket_ms, event_id,
- row_number() OVER (PARTITION BY epoch_ms(ts) // 86400000 ORDER BY event_id) r FROM events) WHERE r <= 5 GROUP BY 1""",
+    "event_ids_capped": """SELECT bucket_ms, string_agg(event_id::VARCHAR, ':' ORDER BY event_id) ids FROM (SELECT ((epoch_us(ts) // 1000) // 86400000) * 86400000 bucket_ms, event_id,
+ row_number() OVER (PARTITION BY (epoch_us(ts) // 1000) // 86400000 ORDER BY event_id) r FROM events) WHERE r <= 5 GROUP BY 1""",
     "corr_complement": f"WITH {_DAY_SETS} SELECT * FROM b EXCEPT SELECT * FROM a",
     "corr_intersect": f"WITH {_DAY_SETS} SELECT * FROM b INTERSECT SELECT * FROM a",
     "tag_values": "SELECT DISTINCT user_id::VARCHAR AS value FROM events",
@@ -373,12 +373,12 @@ _SQL: dict[str, str] = {
  ('event_type', 'TEXT', true, 'EQUALS,IN'), ('user', 'TEXT', true, 'EQUALS,IN')) v(name, type, queryable, conditions)""",
     "stat_exists": "SELECT 'events-count' AS stat_uuid, count(*) > 0 AS there FROM events UNION ALL SELECT 'events-daily', false",
     "finest_store": "SELECT * FROM (VALUES ('events-count', 'MINUTE'), ('events-daily', 'DAY')) v(stat_uuid, store)",
-    "store_counts": """SELECT store, 'COUNT' kind, count(*) cells FROM (SELECT DISTINCT store, epoch_ms(ts) // step, event_type, user_id FROM events,
+    "store_counts": """SELECT store, 'COUNT' kind, count(*) cells FROM (SELECT DISTINCT store, (epoch_us(ts) // 1000) // step, event_type, user_id FROM events,
  (VALUES ('MINUTE', 60000), ('HOUR', 3600000), ('DAY', 86400000), ('FOREVER', 9000000000000000000)) v(store, step)) GROUP BY 1""",
-    "result_group_sort_trim": "SELECT user_id::VARCHAR \"user\", count(*) n, count(DISTINCT ts::DATE) days FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 ORDER BY n DESC, \"user\" LIMIT 10",
+    "result_group_sort_trim": "SELECT user_id::VARCHAR \"user\", count(*) n, count(DISTINCT ts::DATE) AS \"days\" FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 ORDER BY n DESC, \"user\" LIMIT 10",
     "result_nested_groups": """SELECT event_type, "user", n FROM (SELECT event_type, user_id::VARCHAR "user", count(*) n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id::VARCHAR) r FROM events GROUP BY 1, 2) WHERE r <= 3""",
     "mask_functions": "SELECT m::INTEGER mask, lpad(bin(m), 15, '0') digits, lpad(hex(m), 4, '0') hex, bit_count(m)::INTEGER n FROM (SELECT unnest(range(16)) m)",
-    "time_functions": "SELECT event_id, (epoch_ms(ts) // 60000) * 60000 bucket_ms, epoch_ms(ts) // 86400000 block, (epoch_ms(ts) % 86400000) // 60000 place, (epoch_ms(ts) // 60000) * 60000 AS again FROM events",
+    "time_functions": "SELECT event_id, ((epoch_us(ts) // 1000) // 60000) * 60000 bucket_ms, (epoch_us(ts) // 1000) // 86400000 block, ((epoch_us(ts) // 1000) % 86400000) // 60000 place, ((epoch_us(ts) // 1000) // 60000) * 60000 AS again FROM events",
 }
 _PLAIN = (
     value_hour_by_type, count_minute_none, rollup_all_masks, rollup_all_masks_wide, rollup_custom_masks, orders_by_status, cascade_day_from_hour, forever_totals, filter_in, filter_and_or_not, filter_null_tag,
