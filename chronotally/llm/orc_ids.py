@@ -6,13 +6,14 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_order
+from .common import cut, in_order
 
 SCHEMA = "doc_id long, ids array<int>"
 #: A worker remembers the ids of so many words; then it starts anew.
@@ -58,11 +59,17 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One for each tokenizer and worker process, so that what it remembers serves later tasks too."""
+    return Encoder(path)
+
+
 def encode(df: DataFrame, tokenizer: str, end_id: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids) of each row, in the order of the rows: the ids of the whole text, null counting as empty, then end_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -102,6 +109,7 @@ def digest(ids: DataFrame) -> DataFrame:
             sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
 
-    found = ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
+    # written before it is dealt by range, which reads its rows twice
+    found = cut(ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("n_tokens"), F.col("ids_crc32")]
     return in_order(found, order, add={"start": "n_tokens"}, pos="no").select("doc_id", "start", "n_tokens", "ids_crc32")
