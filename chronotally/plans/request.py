@@ -161,5 +161,6 @@ def condition(node: Node | None, column: Callable[[str], Column | None]) -> Colu
         return F.lit(False)
     wanted = [value] if value is None or node["condition"] == "EQUALS" else value.split(",")
     found = [v for v in wanted if v]
-    parts = [F.coalesce(tag.isin(found) if len(found) > 1 else tag == found[0], F.lit(False))] if found else []
+    # both forms are never null, and both reach the scan
+    parts = [tag.eqNullSafe(found[0]) if len(found) == 1 else tag.isNotNull() & tag.isin(found)] if found else []
     return reduce(or_, parts + ([tag.isNull()] if len(found) < len(wanted) else []))
