@@ -129,7 +129,7 @@ NOTICES = [
 #: Of a rule's kind: the higher priority wins, and the confidence that it gives.
 KINDS = {"tag": (3, 1.0), "link": (2, 0.95), "notice": (1, 0.9), "name": (0, 0.8)}
 #: A text without any of these words has no rule to run.
-GATE = r"(?i)licen[sc]e|spdx|permission|redistribution|public domain|all rights reserved|unencumbered|as-is|advertising materials|cc0|cecill|endorse|bsd"
+GATE = r"(?i)licen[sc]e|spdx|permission|redistribution|public domain|all rights reserved|unencumbered|as-is|advertising materials|cc0|cecill|endorse|bsd|attribution|mulan|\.(?:org|net|com|eu|cn)/"
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
