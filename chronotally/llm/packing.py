@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_order
+from .common import cut, in_order
 from .mixing import word_count
 
 
@@ -68,7 +68,9 @@ def pack(df: DataFrame, text: str = "text", id_col: str = "doc_id", shape: Shape
     budget // bucket_length pieces, one at least, in an order that a hash of id and piece gives, and only a bucket's last
     batch may hold fewer. Rows that repeat are packed as often as they come; an empty table gives no pieces. Only the
     histogram of lengths, max_tokens rows at most, reaches the driver."""
-    cut_up = pieces(df.select(F.col(id_col).alias(id_col), F.col(text).alias("text_")), word_count(F.col("text_")) + 1, shape).drop("text_")
+    # counted once and written, as the histogram, the ranges and the places all read it
+    counted = cut(df.select(F.col(id_col).alias(id_col), (word_count(F.col(text)) + 1).alias("tokens_")))
+    cut_up = pieces(counted, F.col("tokens_"), shape).drop("tokens_")
     rows = cut_up.groupBy("length").count().collect()
     ends = best_buckets([r["length"] for r in rows], [r["count"] for r in rows], shape.buckets) or [shape.max_tokens]
     bucket = reduce(lambda a, e: a + (F.col("length") > e).cast("int"), ends[:-1], F.lit(0))
