@@ -98,8 +98,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """(key, hash, n, and those of the row before: before_key, before_hash, before_n) of distinct (id, key, hash, n), in
-    order of id (null last), then hash; before the first stands the last. Ranges are looked at by themselves; what
+    """(id, key, hash, n, and those of the row before: before_key, before_hash, before_n) of distinct (id, key, hash, n),
+    in order of id (null last), then hash; before the first stands the last. Ranges are looked at by themselves; what
     passes between them is one row for each range."""
     order = [F.col("id").asc_nulls_last(), F.col("hash")]
     ranged = cut(rows.distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
@@ -109,7 +109,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     by_part = Window.partitionBy(F.lit(0)).orderBy("part")
     carry = lasts.select(F.col("part"), F.coalesce(F.lag("last").over(by_part), F.max("last").over(Window.partitionBy(F.lit(0)))).alias("carry"))
     before = F.coalesce(F.lag(me).over(inside), F.col("carry"))
-    return ranged.join(F.broadcast(carry), "part").select("key", "hash", "n", before.alias("b")).select("key", "hash", "n", F.col("b.key").alias("before_key"), F.col("b.hash").alias("before_hash"), F.col("b.n").alias("before_n"))
+    return ranged.join(F.broadcast(carry), "part").select("id", "key", "hash", "n", before.alias("b")).select("id", "key", "hash", "n", F.col("b.key").alias("before_key"), F.col("b.hash").alias("before_hash"), F.col("b.n").alias("before_n"))
 
 
 def edited_pairs(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -121,7 +121,8 @@ def edited_pairs(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
     beside = cut(_neighbours(docs.select("id", "key", "hash", F.length("text").alias("n"))))
-    full = docs.join(beside.hint("shuffle_hash"), ["key", "hash"])
+    # of the same three columns for both uses, so that Spark shuffles the texts once and reads them twice
+    full = docs.select("key", "hash", "text").join(beside.hint("shuffle_hash"), ["key", "hash"])
     quarter = lambda n: F.floor(F.col(n) / 4).cast("int")
     head = full.select(F.col("before_key").alias("key"), F.col("before_hash").alias("hash"), F.substring(F.col("text"), F.lit(1), quarter("before_n")).alias("head"))
     joined = full.join(head.dropDuplicates(["key", "hash"]).hint("shuffle_hash"), ["key", "hash"])
