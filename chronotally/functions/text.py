@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
@@ -46,8 +47,8 @@ def _shift(at: datetime, sign: int, n: int, unit: str) -> datetime:
         return at + timedelta(milliseconds=sign * n * UNITS[unit])
     months = at.year * 12 + at.month - 1 + sign * n * (12 if unit == "y" else 1)
     year, month = divmod(months, 12)
-    last = (datetime(year + (month == 11), month % 12 + 1 if month < 11 else 1, 1, 0) if month < 11 else datetime(year + 1, 1, 1)) - timedelta(days=1)
-    return at.replace(year=year, month=month + 1, day=min(at.day, last.day))
+    last = monthrange(year, month + 1)[1]
+    return at.replace(year=year, month=month + 1, day=min(at.day, last))
 
 
 def parse_time_ms(text: str, now_ms: int, zone: str = "UTC") -> int:
