@@ -279,12 +279,17 @@ def dedupe(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     """One document of each component: the one of least id (null ids last), and of rows that share an id and a text, one.
 
     Text is hashed once and shuffled once, by id and hash, to meet the few that stay."""
-    fp, h, no = fresh(df, "fp_of", "hash_of", "no_of")
     slim = cut(with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text).alias("t")), "t", "fp").select("id", F.xxhash64("t").alias("h"), "fp"))
     root = roots(cut(slim.select("fp").distinct()))
     # the least of each fingerprint first, so that no root gathers all rows of a large group
     of_fp = slim.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("best"))
-    stay = of_fp.join(root, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias(fp), F.col("best.h").alias("h"))
+    return keep_least(df, of_fp.join(root, "fp").groupBy("root").agg(F.min("best").alias("best")), text, id_col)
+
+
+def keep_least(df: DataFrame, best: DataFrame, text: str, id_col: str) -> DataFrame:
+    """The rows of df whose id and text hash are in best (struct<id,h>); of rows that share both, one."""
+    fp, h, no = fresh(df, "fp_of", "hash_of", "no_of")
+    stay = best.select(F.col("best.id").alias(fp), F.col("best.h").alias("h"))
     hashed = df.withColumn(h, F.xxhash64(F.col(text)))
     kept = hashed.join(stay, hashed[id_col].eqNullSafe(stay[fp]) & (hashed[h] == stay["h"]), "left_semi")
     alike = Window.partitionBy(id_col, h).orderBy(h)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotally.llm import mixing, packing, quality, secrets, simhash
+from chronotally.llm import mixing, near_copies, packing, quality, secrets
 from chronotally.llm.common import shared_path
 
-#: SQL cannot express shingle hashes with seeded XXH64, Golay keys and components, or the dynamic program of the buckets.
+#: SQL cannot express shingle hashes with seeded XXH64, least hashes and components, or the dynamic program of the buckets.
 ORACLE_SQL = None
 
 
@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.dedupe(docs)
+    return near_copies.dedupe(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

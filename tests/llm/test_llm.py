@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from chronotally.llm import classifier, imatch, licenses, mixing, orc_ids, packing, quality, secrets, sharding, simhash
+from chronotally.llm import classifier, imatch, licenses, mixing, near_copies, orc_ids, packing, quality, secrets, sharding, simhash
 from chronotally.llm.common import ascii_lower, in_order, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -229,6 +229,38 @@ def test_links_lose_none(spark, monkeypatch, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def similarity(a: str, b: str) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_copies(spark, monkeypatch, clashing, empty, small):
+    """Edited copies around the limit against all pairs; a small limit sends every group the way of large ones."""
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    texts = []
+    for n in (40, 150, 600):
+        for _ in range(8):
+            own = [word() for _ in range(n)]
+            texts.append(" ".join(own))
+            for _ in range(4):
+                share = rng.choice([0.005, 0.015, 0.03, 0.06])
+                texts.append(" ".join(word() if rng.random() < share else w for w in own))
+    group = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and similarity(texts[i], texts[j]) >= 0.8:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if v == old else v for k, v in group.items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in near_copies.dedupe(df).collect()) == sorted(set(group.values()))
+    assert len(set(group.values())) < simhash.dedupe(df).count()
+    assert near_copies.dedupe(clashing).columns == clashing.columns and near_copies.dedupe(empty).count() == 0
+
+
 def test_components_of_a_chain(spark):
     n = 70
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(200, 201), (5, 5)], "a long, b long")

@@ -37,3 +37,11 @@ def test_stages(spark, tmp_path):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(4)
+    own = [f"w{rng.randrange(1000)}" for _ in range(200)]
+    edited = [f"new{i}" if i % 50 == 20 else w for i, w in enumerate(own)]  # four words of 200: a similarity of 0.81
+    docs = spark.createDataFrame([(1, " ".join(own), "en", "s", 0), (2, " ".join(edited), "en", "s", 0)], SCHEMA)
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
