@@ -18,10 +18,11 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 _HEADS = {p.rsplit(" ", 1)[0]: label for p, label in PHRASES.items()}
 BASE = f"(?<!{WORD[:-1]}])(" + "|".join(f"(?i:{NOT_WORD.join(h.split())})" for h in _HEADS) + f"){NOT_WORD}(?i:license)(?!{WORD[:-1]}])"
 
+GAP = r"[\s*#/>-]+"
 # License families as (SPDX id, keyword, name pattern, host and path of its text). A space in a name stands
-# for any run of white space, comment marks or hyphens.
+# for any run of white space, comment marks or hyphens (GAP). A keyword is one word that every match holds.
 FAMILIES = [
-    ("0BSD", "0bsd", r"(?:zero.clause|0.clause) bsd", "opensource.org/licenses/0bsd"),
+    ("0BSD", "bsd", r"(?:zero.clause|0.clause) bsd", "opensource.org/licenses/0bsd"),
     ("AFL-2.1", "academic", r"academic free license,? (?:version |v)?2\.1", "opensource.org/licenses/afl-2.1"),
     ("AFL-3.0", "academic", r"academic free license,? (?:version |v)?3\.0", "opensource.org/licenses/afl-3.0"),
     ("AGPL-1.0", "affero", r"affero general public license,? (?:version |v)?1", "affero.org/oagpl"),
@@ -53,7 +54,7 @@ FAMILIES = [
     ("CECILL-2.1", "cecill", r"cecill free software license(?: agreement)?", "cecill.info/licences/licence_cecill_v2.1"),
     ("CECILL-B", "cecill", r"cecill.b", "cecill.info/licences/licence_cecill-b"),
     ("CECILL-C", "cecill", r"cecill.c", "cecill.info/licences/licence_cecill-c"),
-    ("CPL-1.0", "common public", r"common public license,? (?:version |v)?1\.0", "opensource.org/licenses/cpl1.0"),
+    ("CPL-1.0", "common", r"common public license,? (?:version |v)?1\.0", "opensource.org/licenses/cpl1.0"),
     ("ECL-2.0", "educational", r"educational community license,? (?:version |v)?2\.0", "opensource.org/licenses/ecl-2.0"),
     ("EFL-2.0", "eiffel", r"eiffel forum license,? (?:version |v)?2", "opensource.org/licenses/efl-2.0"),
     ("EPL-1.0", "eclipse", r"eclipse public license,? (?:version |v)?1\.0", "eclipse.org/legal/epl-v10"),
@@ -66,7 +67,7 @@ FAMILIES = [
     ("GPL-2.0", "general", r"(?:gnu )?general public license,? (?:version |v)?2", "gnu.org/licenses/gpl-2.0"),
     ("GPL-3.0", "general", r"(?:gnu )?general public license,? (?:version |v)?3", "gnu.org/licenses/gpl-3.0"),
     ("HPND", "historical", r"historical permission notice and disclaimer", "opensource.org/licenses/hpnd"),
-    ("ICU", "unicode", r"icu license", "source.icu-project.org/repos/icu/trunk/icu4j/main/shared/licenses"),
+    ("ICU", "icu", r"icu license", "source.icu-project.org/repos/icu/trunk/icu4j/main/shared/licenses"),
     ("IPL-1.0", "ibm", r"ibm public license,? (?:version |v)?1\.0", "opensource.org/licenses/ipl-1.0"),
     ("ISC", "isc", r"isc license", "opensource.org/licenses/isc"),
     ("JSON", "json", r"json license", "json.org/license"),
@@ -87,55 +88,54 @@ FAMILIES = [
     ("NPL-1.1", "netscape", r"netscape public license,? (?:version |v)?1\.1", "mozilla.org/mpl/npl"),
     ("ODbL-1.0", "database", r"open database license", "opendatacommons.org/licenses/odbl"),
     ("OFL-1.1", "font", r"sil open font license", "scripts.sil.org/ofl"),
-    ("OSL-3.0", "open software", r"open software license,? (?:version |v)?3\.0", "opensource.org/licenses/osl-3.0"),
+    ("OSL-3.0", "open", r"open software license,? (?:version |v)?3\.0", "opensource.org/licenses/osl-3.0"),
     ("OpenSSL", "openssl", r"openssl license", "openssl.org/source/license"),
     ("PDDL-1.0", "dedication", r"public domain dedication (?:&|and) license", "opendatacommons.org/licenses/pddl"),
     ("PHP-3.01", "php", r"php license,? (?:version |v)?3\.01", "php.net/license/3_01"),
     ("PostgreSQL", "postgresql", r"postgresql licen[cs]e", "postgresql.org/about/licence"),
     ("PSF-2.0", "python", r"python software foundation license", "docs.python.org/license"),
-    ("QPL-1.0", "q public", r"q public license", "opensource.org/licenses/qpl-1.0"),
+    ("QPL-1.0", "public", r"q public license", "opensource.org/licenses/qpl-1.0"),
     ("Ruby", "ruby", r"ruby license", "ruby-lang.org/en/about/license"),
-    ("SSPL-1.0", "server side", r"server side public license", "mongodb.com/licensing/server-side-public-license"),
+    ("SSPL-1.0", "server", r"server side public license", "mongodb.com/licensing/server-side-public-license"),
     ("Unicode-DFS-2016", "unicode", r"unicode,? inc\.? license agreement", "unicode.org/copyright"),
     ("Unlicense", "unlicense", r"the unlicense", "unlicense.org"),
     ("UPL-1.0", "universal", r"universal permissive license", "opensource.org/licenses/upl"),
     ("Vim", "vim", r"vim license", "vimdoc.sourceforge.net/htmldoc/uganda"),
     ("W3C", "w3c", r"w3c software (?:notice and|and document) license", "w3.org/consortium/legal"),
-    ("WTFPL", "do what", r"do what the f[u*]ck you want to public license", "wtfpl.net"),
+    ("WTFPL", "want", r"do what the f[u*]ck you want to public license", "wtfpl.net"),
     ("X11", "x11", r"x11 license", "xfree86.org/3.3.6/copyright2"),
     ("Zlib", "zlib", r"zlib(?:/libpng)? license", "zlib.net/zlib_license"),
     ("ZPL-2.1", "zope", r"zope public license,? (?:version |v)?2\.1", "opensource.org/licenses/zpl-2.1"),
 ]
 # Sentences that stand in a license's text or notice, as (SPDX id, keyword, pattern).
 NOTICES = [
-    ("MIT", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("MIT", "mit", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit license"),
     ("Apache-2.0", "apache", r"licensed under the apache license,? version 2\.0"),
     ("Apache", "apache", r"apache license"),
     ("GPL", "general", r"(?:gnu )?general public license"),
-    ("GPL-2.0", "general", r"either version 2 of the license, or \(at your option\) any later version"),
-    ("GPL-3.0", "general", r"either version 3 of the license, or \(at your option\) any later version"),
+    ("GPL-2.0", "later", r"either version 2 of the license, or \(at your option\) any later version"),
+    ("GPL-3.0", "later", r"either version 3 of the license, or \(at your option\) any later version"),
     ("BSD", "redistribution", r"redistribution and use in source and binary forms, with or without modification"),
     ("BSD-3-Clause", "endorse", r"neither the name of .{1,80} nor the names of its contributors may be used to endorse"),
     ("BSD-4-Clause", "advertising", r"all advertising materials mentioning features or use of this software"),
-    ("ISC", "permission to use", r"permission to use, copy, modify, and/?(?:or)? distribute this software for any purpose"),
+    ("ISC", "permission", r"permission to use, copy, modify, and/?(?:or)? distribute this software for any purpose"),
     ("MPL-2.0", "mozilla", r"subject to the terms of the mozilla public license, v\. 2\.0"),
     ("BSL-1.0", "boost", r"distributed under the boost software license"),
     ("Unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("Zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
-    ("Proprietary", "all rights reserved", r"all rights reserved\.? (?:unauthori[sz]ed|no part)"),
-    ("Public-Domain", "public domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
+    ("Proprietary", "reserved", r"all rights reserved\.? (?:unauthori[sz]ed|no part)"),
+    ("Public-Domain", "domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
 ]
 #: Of a rule's kind: the higher priority wins, and the confidence that it gives.
 KINDS = {"tag": (3, 1.0), "link": (2, 0.95), "notice": (1, 0.9), "name": (0, 0.8)}
 #: A text without any of these words has no rule to run.
-GATE = r"(?i)licen[sc]e|spdx|permission|redistribution|public domain|all rights reserved|unencumbered|as-is|advertising materials|cc0|cecill|endorse|bsd|attribution|mulan|\.(?:org|net|com|eu|cn)/"
+GATE = r"(?i)licen[sc]e|spdx|permission|redistribution|public domain|rights reserved|unencumbered|as-is|advertising materials|cc0|cecill|endorse|bsd|attribution|mulan|wtfpl|\.(?:org|net|com|eu|cn)/".replace(" ", GAP)
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, pattern, priority, confidence) of every rule, in the order in which ties are settled."""
-    gap = r"[\s*#/>-]+"
-    name = lambda p: r"(?i)\b" + p.replace(" ", gap) + r"\b"
+    name = lambda p: r"(?i)\b" + p.replace(" ", GAP) + r"\b"
     dots = lambda p: p.replace(".", r"\.")
     out = [(spdx, "spdx", r"(?i)spdx-license-identifier:\s*" + dots(spdx) + r"(?:-only|-or-later)?(?![\w.-])", "tag") for spdx, *_ in FAMILIES]
     out += [(spdx, url.split("/")[0], "(?i)" + dots(url), "link") for spdx, _, _, url in FAMILIES]

@@ -161,6 +161,45 @@ def test_licenses(spark, docs):
     assert len(licenses.rules()) > 200
 
 
+def sample_of(pattern: str, gap: str, pick: random.Random) -> str:
+    """A text that the pattern matches; gap stands where the pattern has any run of white space and marks."""
+    from re import _constants as c
+    from re import _parser
+
+    def made(tokens) -> str:
+        out = ""
+        for op, x in tokens:
+            if op is c.LITERAL:
+                out += chr(x)
+            elif op is c.ANY:
+                out += "-"
+            elif op is c.IN:
+                out += chr(pick.choice([v for o, v in x if o is c.LITERAL] or [32]))
+            elif op is c.BRANCH:
+                out += made(pick.choice(x[1]))
+            elif op is c.SUBPATTERN:
+                out += made(x[3])
+            elif op is c.MAX_REPEAT:
+                many = x[0] == 1 and x[1] is c.MAXREPEAT
+                out += gap if many else made(x[2]) * pick.randint(x[0], min(x[1], x[0] + 1) if x[1] is not c.MAXREPEAT else x[0])
+        return out
+
+    return made(_parser.parse(pattern))
+
+
+def test_gated_licenses_equal_ungated(spark, monkeypatch):
+    pick = random.Random(7)
+    kinds = licenses.rules()
+    texts = [f"x {made} y" for _, _, p, *_ in kinds for gap in (" ", "\n * ", "-", "  ", "\n# ") for made in (sample_of(p, gap, pick), sample_of(p, gap, pick).title())]
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "doc_id int, text string")
+    columns = ["doc_id", "licenses.labels", "licenses.score", F.size("licenses.found")]
+    gated = sorted(licenses.scan(df).select(*columns).collect())
+    assert all(r["labels"] for r in gated)
+    monkeypatch.setattr(licenses, "GATE", "")
+    monkeypatch.setattr(licenses, "rules", lambda: [(label, "", *rest) for label, _, *rest in kinds])
+    assert gated == sorted(licenses.scan(df).select(*columns).collect())
+
+
 def fingerprint_of(t: str | None) -> int:
     w = (t or "").encode().lower().split()
     if not w:
