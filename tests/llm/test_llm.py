@@ -130,6 +130,15 @@ def test_secrets(spark, docs, clashing):
     assert out.columns == clashing.columns and out.count() == docs.count()
 
 
+def test_secrets_beside_words(spark):
+    """Marking words clear their own part of a run only, and letters without digits are judged unless they look like words."""
+    key, letters = "kJ8sD02mZq9XvB7nLw4T", "kJqsDpRmZqgXvBnLwTyH"
+    texts = [f"sample/{key}", f"{key}-example", f"a {letters} b", f"sample{key}", "getElementByIdAndOtherLongNames path/toSome/Other_place-here", "dummy/0123456789abcdef_example", "x/" * 40_000 + "y", "a" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r["w"] for r in sorted(secrets.detect(df).select("doc_id", secrets.written(F.col("secrets")).alias("w")).collect())]
+    assert got == ["entropy:7:27", "entropy:0:21", "entropy:2:22", "", "", "", "", "hex:0:100000"]
+
+
 def test_window_entropy(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choices("abcdefgh01234567ABC", k=n)) for n in (20, 21, 45, 90)] + ["a" * 30]
