@@ -104,6 +104,12 @@ def _remainders() -> np.ndarray:
     return out
 
 
+def codebook() -> np.ndarray:
+    """The 4096 codewords, each at its index."""
+    top = np.arange(1 << 12)
+    return top << 11 | _remainders()
+
+
 def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices (12 bits) of the codewords within 4 errors of each 23-bit word, nearest first; and how many there are."""
     patterns, n = _golay()
@@ -265,14 +271,15 @@ def cluster(df: DataFrame, fp: str = "fingerprint", id_col: str = "doc_id", out:
     """Adds `out`: the least id among the documents that links of at most MAX_BITS bits reach, the row itself included.
 
     Equal fingerprints, zero for texts without words included, link; they are compared once, as one. Null ids are left
-    out of the least; where all ids are null so is the result. Repeated rows get equal results; an empty table, none.
+    out of the least; where all ids are null so is the result. Repeated rows get equal results; an empty table, none. A
+    column named `out` is replaced.
     df is read more than once: give it written rows, not a plan that computes fingerprints."""
     own = cut(df.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least")))
     root = cut(roots(own.select("fp")))
     least = own.join(root, "fp").groupBy("root").agg(F.min("least").alias("least"))
     k, v = fresh(df, "fp_of", "least_of")
     best = root.join(least, "root").select(F.col("fp").alias(k), F.col("least").alias(v))
-    return df.join(best, F.col(fp) == F.col(k), "left").select(*df.columns, F.col(v).alias(out))
+    return df.join(best, F.col(fp) == F.col(k), "left").select(*(c for c in df.columns if c.lower() != out.lower()), F.col(v).alias(out))
 
 
 def dedupe(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
