@@ -12,8 +12,8 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.filter_documents(docs)
+    """Documents that the rules reject go. A short document is no bad one here: the least number of words is op6's contract."""
+    return quality.filter_documents(docs, quality.Limits(min_words=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
