@@ -6,6 +6,7 @@ fields), cnt, total, least, most. Partials of one key merge by sum, sum, min and
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,10 +18,17 @@ from ..plans.model import Registry
 TAGS = [f"tag_{i}" for i in range(masks.MAX_TAGS)]
 MEASURES = ["cnt", "total", "least", "most"]
 KEYS = ["store", "stat_uuid", "mask", "bucket_ms", *TAGS]
+#: Statistics of more masks than this are fanned out one tag at a time.
+WIDE = 64
 COLUMNS = ["store", "stat_uuid", "mask", "row_bucket", "bucket_ms", *TAGS, *MEASURES]
 SCHEMA = "store string, stat_uuid string, mask int, row_bucket long, bucket_ms long, " + ", ".join(f"{t} string" for t in TAGS) + ", cnt long, total double, least double, most double"
 
 
+def tags_of(df: DataFrame) -> list[str]:
+    """The tags that df has columns for: as many as the widest statistic needs, until with_blocks() adds the others as nulls."""
+    return [t for t in TAGS if t in df.columns]
+
+
 def merge(partials: DataFrame, keys: list[str]) -> DataFrame:
     """One partial for each key; combined in each task before the shuffle."""
     return partials.groupBy(*keys).agg(F.sum("cnt").alias("cnt"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
@@ -37,8 +45,9 @@ def tag_at(i: int) -> Column:
     return F.nullif(F.get(named, F.lit(0))["value"], F.lit(""))
 
 
-def base(valid: DataFrame, now_ms: int, retention: dict[str, int] = intervals.RETENTION) -> DataFrame:
-    """Partials under mask 0 at the grain where each event enters: the configured one, or coarser for late events."""
+def base(valid: DataFrame, now_ms: int, retention: dict[str, int] = intervals.RETENTION, tags: int = masks.MAX_TAGS) -> DataFrame:
+    """Partials under mask 0 at the grain where each event enters: the configured one, or coarser for late events. No
+    statistic has more than so many tags."""
     at = valid.withColumn("store", intervals.base_store(F.col("time_ms"), F.col("precision"), now_ms, retention))
     start = F.lit(0).cast("long")
     for i in intervals.INTERVALS[:-1]:
@@ -46,42 +55,53 @@ def base(valid: DataFrame, now_ms: int, retention: dict[str, int] = intervals.RE
     is_value = F.col("kind") == "VALUE"
     value = F.when(is_value, F.col("value"))
     rows = at.select(
-        "store", "stat_uuid", start.alias("bucket_ms"), *(tag_at(i).alias(t) for i, t in enumerate(TAGS)),
+        "store", "stat_uuid", start.alias("bucket_ms"), *(tag_at(i).alias(t) for i, t in enumerate(TAGS[:tags])),
         F.when(is_value, F.lit(1).cast("long")).otherwise(F.col("count")).alias("cnt"), value.alias("total"), value.alias("least"), value.alias("most"),
     )
-    return merge(rows, ["store", "stat_uuid", "bucket_ms", *TAGS])
+    return merge(rows, ["store", "stat_uuid", "bucket_ms", *TAGS[:tags]])
 
 
 def cascade(entered: DataFrame) -> DataFrame:
-    """Partials of every grain: each is the next finer one, merged, and what enters there. The input is read once for
-    each grain, from one shuffle, and every grain's own shuffle holds no more than the finer grain's keys."""
-    keys, out, finer = ["stat_uuid", "bucket_ms", *TAGS], [], None
-    for i in intervals.INTERVALS:
-        here = entered.where(F.col("store") == i.name).drop("store")
-        if finer is not None:
-            raised = finer.withColumn("bucket_ms", intervals.bucket(F.col("bucket_ms"), i))
-            here = merge(raised.unionByName(here), keys)
-        finer = here
-        out.append(here.select(F.lit(i.name).alias("store"), *here.columns))
-    return reduce(DataFrame.unionByName, out)
+    """Partials of every grain, from the one where they enter: each is copied to the grains from there on, at most five
+    times, and merged by grain and bucket. One scan and one shuffle; copies are merged in each task before it."""
+    raised: Column = F.array().cast("array<struct<store:string,bucket_ms:bigint>>")
+    for k, i in enumerate(intervals.INTERVALS):
+        finer = [j.name for j in intervals.INTERVALS[: k + 1]]
+        here = F.struct(F.lit(i.name).alias("store"), intervals.bucket(F.col("bucket_ms"), i).cast("long").alias("bucket_ms"))
+        raised = F.concat(raised, F.when(F.col("store").isin(finer), F.array(here)).otherwise(F.array().cast("array<struct<store:string,bucket_ms:bigint>>")))
+    rest = [c for c in entered.columns if c not in ("store", "bucket_ms")]
+    return merge(entered.select(*rest, F.inline(raised)), ["store", "stat_uuid", "bucket_ms", *tags_of(entered)])
 
 
 def fan_out(partials: DataFrame, registry: Registry) -> DataFrame:
     """Partials under every mask of their statistic, of those under mask 0.
 
-    Copies are made of partials, not of events, and merged in each task before they are shuffled. See fan_out_wide() for
-    statistics of many tags."""
-    config = registry.frame(partials.sparkSession).select("stat_uuid", "masks")
-    each = partials.join(F.broadcast(config), "stat_uuid").withColumn("mask", F.explode("masks")).drop("masks")
-    return with_blocks(merge(each.withColumns({t: masks.rolled(F.col(t), F.col("mask"), i) for i, t in enumerate(TAGS)}), KEYS))
+    Copies are made of partials, not of events, and merged in each task before they are shuffled. Statistics of more than
+    WIDE masks for all tags go through fan_out_wide()."""
+    wide: dict[int, list[str]] = {}
+    for c in registry.configs.values():
+        if c.rollup == "ALL" and 1 << len(c.fields) > WIDE:
+            wide.setdefault(len(c.fields), []).append(c.uuid)
+    narrow = Registry.of(*(c for c in registry.configs.values() if not any(c.uuid in found for found in wide.values())))
+    out = [fan_out_wide(partials.where(F.col("stat_uuid").isin(found)), tags) for tags, found in wide.items()]
+    if narrow.configs or not out:
+        config = narrow.frame(partials.sparkSession).select("stat_uuid", "masks")
+        each = partials.join(F.broadcast(config), "stat_uuid").withColumn("mask", F.explode("masks")).drop("masks")
+        rolled = each.withColumns({t: masks.rolled(F.col(t), F.col("mask"), i) for i, t in enumerate(tags_of(partials))})
+        out.append(with_blocks(merge(rolled, _keys(partials))))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _keys(partials: DataFrame) -> list[str]:
+    return ["store", "stat_uuid", "mask", "bucket_ms", *tags_of(partials)]
 
 
 def fan_out_wide(partials: DataFrame, tags: int) -> DataFrame:
-    """As fan_out() for statistics that roll up ALL of up to `tags` tags, one tag at a time: partials with a tag rolled up
+    """As fan_out() for statistics that roll up ALL of their `tags` tags, one tag at a time: partials with a tag rolled up
     come from merged ones, so that 2^n copies of every partial are never made at once. Each step is written out."""
     done = partials.withColumn("mask", F.lit(0))
     for i, t in enumerate(TAGS[:tags]):
-        rolled = merge(done.withColumn(t, F.lit(masks.ROLLED_UP)).withColumn("mask", F.col("mask").bitwiseOR(F.lit(1 << i))), KEYS)
+        rolled = merge(done.withColumn(t, F.lit(masks.ROLLED_UP)).withColumn("mask", F.col("mask").bitwiseOR(F.lit(1 << i))), _keys(partials))
         done = checkpointed(done.unionByName(rolled))
     return with_blocks(done)
 
@@ -92,18 +112,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a session on one machine gets
+    a folder of its own, and a cluster's is refused, as its executors would write to disks that others don't see."""
     own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own or spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own or "/tmp/checkpoints")
-    return own or "/tmp/checkpoints"
+    if not own:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = f"{tempfile.gettempdir()}/checkpoints"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def with_blocks(partials: DataFrame) -> DataFrame:
     block = F.lit(0).cast("long")
     for i in intervals.INTERVALS[:-1]:
         block = F.when(F.col("store") == i.name, intervals.row_bucket(F.col("bucket_ms"), i)).otherwise(block)
-    return partials.withColumn("row_bucket", block).select(*COLUMNS)
+    none = {t: F.lit(None).cast("string") for t in TAGS if t not in partials.columns}
+    return partials.withColumn("row_bucket", block).withColumns(none).select(*COLUMNS)
 
 
 def kept(partials: DataFrame, now_ms: int, retention: dict[str, int] = intervals.RETENTION) -> DataFrame:
@@ -116,7 +143,8 @@ def kept(partials: DataFrame, now_ms: int, retention: dict[str, int] = intervals
 
 def partials_of(valid: DataFrame, registry: Registry, now_ms: int, retention: dict[str, int] = intervals.RETENTION) -> DataFrame:
     """All partials of validated events: every grain from where they enter, under every mask."""
-    return kept(fan_out(cascade(base(valid, now_ms, retention)), registry), now_ms, retention)
+    tags = max((len(c.fields) for c in registry.configs.values()), default=0)
+    return kept(fan_out(cascade(base(valid, now_ms, retention, tags)), registry), now_ms, retention)
 
 
 def event_ids(valid: DataFrame, i: intervals.Interval, most: int, order: str = "id") -> DataFrame:

@@ -11,32 +11,100 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals
 from ..plans.model import Registry, StatConfig
-from .rollup import COLUMNS, KEYS, SCHEMA, TAGS, merge
+from .rollup import COLUMNS, KEYS, SCHEMA, TAGS, checkpointed, merge
 
 PARTITIONS = ["store", "stat_uuid", "row_bucket"]
 
 
-def write_batch(partials: DataFrame, root: str, batch_id: int = 0) -> None:
+class BatchExists(ValueError):
+    """A batch of that number is in the store."""
+
+
+def write_batch(partials: DataFrame, root: str, batch_id: int) -> None:
     """Writes one batch; writing it again replaces it, so a batch that is retried counts once.
 
-    Rows are dealt by what they are partitioned by and by bucket ranges, so a large statistic's block is written by many tasks."""
-    dealt = partials.select(*COLUMNS).repartitionByRange(*PARTITIONS, "mask", "bucket_ms").sortWithinPartitions(*PARTITIONS, "mask", "bucket_ms", *TAGS[:3])
+    Rows are computed once and written to the checkpoint folder. They are dealt by what they are partitioned by, by bucket
+    and by tags, so many tasks write a large statistic's block, and one with a single bucket, too."""
+    finish(partials.sparkSession, root)
+    order = [*PARTITIONS, "mask", "bucket_ms", *TAGS[:3]]
+    dealt = checkpointed(partials.select(*COLUMNS)).repartitionByRange(*order).sortWithinPartitions(*order)
     dealt.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{root.rstrip('/')}/batch_id={batch_id}")
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
     """All partials; several of one key are merged by whoever reads. A store that nothing was written to is empty."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path) or not files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/batch_id=*/store=*")):
+    finish(spark, root)
+    files, path = _files(spark, root)
+    if not files.exists(path(root)) or not files.globStatus(path(f"{root.rstrip('/')}/batch_id=*/store=*")):
         return spark.createDataFrame([], SCHEMA)
     return spark.read.schema(SCHEMA + ", batch_id long").option("basePath", root).parquet(root).select(*COLUMNS)
 
 
+def _files(spark: SparkSession, root: str):
+    """The file system of root, and what makes its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def batches(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the batches in the store; a negative one, -1 - n, holds all up to n, merged."""
+    files, path = _files(spark, root)
+    found = files.globStatus(path(f"{root.rstrip('/')}/batch_id=*")) or []
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in found)
+
+
+def refuse_known(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Raises BatchExists if a batch of that number was written, be it merged into another since."""
+    known = batches(spark, root)
+    if batch_id < 0 or batch_id in known or any(n < 0 and batch_id <= -1 - n for n in known):
+        raise BatchExists(f"batch {batch_id} is taken")
+
+
 def compact(spark: SparkSession, root: str, to: str) -> None:
-    """Writes one partial for each key of all batches to another root."""
-    merged = merge(read(spark, root), [*KEYS, "row_bucket"])
-    write_batch(merged, to)
+    """Writes one partial for each key of all batches to another root, under the number of merged batches."""
+    last = max((n if n >= 0 else -1 - n for n in batches(spark, root)), default=-1)
+    write_batch(merge(read(spark, root), [*KEYS, "row_bucket"]), to, -1 - last)
+
+
+#: The merged rows and the list of what they replace, while batches are being merged in place; readers don't see such names.
+_NEW, _SWAP = "_merged", "_replaces"
+
+
+def compact_in_place(spark: SparkSession, root: str) -> list[int]:
+    """Merges all batches but the newest, which a stream may write again, into one; returns their numbers.
+
+    The merged rows are written beside the batches first. From the moment when the list of what they replace is there, the
+    swap will be finished by whoever comes next, so a driver that is lost at any point leaves every event counted once.
+    One process at a time writes to a store or compacts it."""
+    finish(spark, root)
+    old = batches(spark, root)
+    old = [n for n in old if n < 0 or n != old[-1]]
+    if len(old) < 2:
+        return []
+    base = root.rstrip("/")
+    rows = spark.read.schema(SCHEMA + ", batch_id long").option("basePath", base).parquet(*(f"{base}/batch_id={n}" for n in old)).select(*COLUMNS)
+    order = [*PARTITIONS, "mask", "bucket_ms", *TAGS[:3]]
+    merged = checkpointed(merge(rows, [*KEYS, "row_bucket"]).select(*COLUMNS)).repartitionByRange(*order).sortWithinPartitions(*order)
+    merged.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{base}/{_NEW}")
+    files, path = _files(spark, root)
+    with_list = f"{base}/{_SWAP}.{'_'.join(map(str, old))}"
+    files.create(path(with_list), True).close()
+    finish(spark, root)
+    return old
+
+
+def finish(spark: SparkSession, root: str) -> None:
+    """Ends a swap that compact_in_place() began; each step may be repeated."""
+    files, path = _files(spark, root)
+    base = root.rstrip("/")
+    for found in files.globStatus(path(f"{base}/{_SWAP}.*")) or []:
+        old = [int(n) for n in found.getPath().getName().split(".", 1)[1].split("_")]
+        for n in old:
+            files.delete(path(f"{base}/batch_id={n}"), True)
+        last = max(n if n >= 0 else -1 - n for n in old)
+        if files.exists(path(f"{base}/{_NEW}")):
+            files.rename(path(f"{base}/{_NEW}"), path(f"{base}/batch_id={-1 - last}"))
+        files.delete(found.getPath(), False)
 
 
 def _delete(spark: SparkSession, pattern: str, gone) -> int:

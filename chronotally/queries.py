@@ -169,7 +169,7 @@ def _dated(condition: str, value: str) -> Query:
 
 
 _PERIODS = {
-    "second": ("2024-01-30T10:00:00.000Z,2024-01-30T10:02:59.999Z", 1_000, "(epoch_us(ts) // 1000) >= 1706608800000 AND (epoch_us(ts) // 1000) < 1706608980000"),
+    "second": ("2024-01-30T11:00:00.000Z,2024-01-30T11:02:59.999Z", 1_000, "(epoch_us(ts) // 1000) >= 1706612400000 AND (epoch_us(ts) // 1000) < 1706612580000"),
     "minute": ("2024-01-30T09:00:00.000Z,2024-01-30T11:59:59.999Z", 60_000, "(epoch_us(ts) // 1000) >= 1706605200000 AND (epoch_us(ts) // 1000) < 1706616000000"),
     "hour": ("2024-01-08T00:00:00.000Z,2024-01-14T23:59:59.999Z", 3_600_000, WEEK_SQL),
     "day": ("2024-01-01T00:00:00.000Z,2024-01-30T23:59:59.999Z", DAY, "(epoch_us(ts) // 1000) >= 1704067200000 AND (epoch_us(ts) // 1000) < 1706659200000"),
@@ -202,7 +202,7 @@ def _root(spark: SparkSession) -> str:
 def purge_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry, root = Registry.of(VALUE), _root(spark)
     good = validate.good(validate.validate(_events(spark, sf_dir), registry))
-    store.write_batch(rollup.fan_out(rollup.cascade(rollup.base(good, NOW - 8 * DAY)), registry), root)
+    store.write_batch(rollup.fan_out(rollup.cascade(rollup.base(good, NOW - 8 * DAY)), registry), root, 0)
     store.purge_old(spark, root, NOW)
     return store.read(spark, root).where("mask = 0").groupBy("store").agg(F.sum("cnt").alias("n"))
 
@@ -227,6 +227,26 @@ def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("store", "mask").agg(F.count("*").alias("cells"), F.sum("cnt").alias("n"))
 
 
+def compacted_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, the first two merged into one between the last two."""
+    registry, root = Registry.of(VALUE), _root(spark)
+    rows = _events(spark, sf_dir).withColumn("part", F.pmod(F.get("ids", F.lit(0)).cast("long"), F.lit(4)))
+    for part in (0, 1, 2, 3):
+        if part == 3:
+            store.compact_in_place(spark, root)
+        store.write_batch(_partials(rows.where(F.col("part") == part).drop("part"), VALUE), root, part)
+    request = {"source_uuid": VALUE.uuid, "expression": _at(precision="HOUR"), "fields": [*MEASURED, _field("event_type")]}
+    return search.search(store.read(spark, root), registry, request, NOW)
+
+
+def stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of two tag values from the stored files: one grain, one mask and two blocks of them are read."""
+    root = _root(spark)
+    store.write_batch(_partials(_events(spark, sf_dir), VALUE), root, 0)
+    request = {"source_uuid": VALUE.uuid, "expression": _at(WEEK, term("event_type", "IN", "click,view"), term("user", "IN", "1,2,3,4,5,6,7,8,9")), "fields": [*MEASURED, _field("event_type"), _field("user")]}
+    return search.search(store.read(spark, root), Registry.of(VALUE), request, NOW)
+
+
 def validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.get("ids", F.lit(0)).cast("long"), F.lit(10))
     rows = _events(spark, sf_dir).withColumn("part", part)
@@ -353,6 +373,8 @@ _SQL: dict[str, str] = {
     "retention_filter": _KEPT,
     "purge_old": _KEPT,
     "partials_merge": _sql({**_DAYS, **_TYPE}),
+    "compacted_in_place": _sql({"bucket_ms": _bucket(3_600_000), **_TYPE}),
+    "stored_scan": _sql({"bucket_ms": _bucket(3_600_000), **_TYPE, **_USER}, f"event_type IN ('click', 'view') AND user_id BETWEEN 1 AND 9 AND {WEEK_SQL}"),
     "compacted": """WITH e AS (SELECT (epoch_us(ts) // 1000) t, event_type a, user_id b FROM events),
  s AS (SELECT * FROM (VALUES ('SECOND', 1000), ('MINUTE', 60000), ('HOUR', 3600000), ('DAY', 86400000), ('FOREVER', 9000000000000000000)) v(store, step)), m AS (SELECT unnest(range(4)) mask),
  k AS (SELECT store, mask::INTEGER mask, t // step, CASE WHEN mask & 1 <> 0 THEN '*' ELSE a END, CASE WHEN mask & 2 <> 0 THEN '*' ELSE b::VARCHAR END, count(*) c FROM e, s, m WHERE store <> 'SECOND' OR t >= 1706486400000 GROUP BY ALL)
@@ -382,7 +404,7 @@ _SQL: dict[str, str] = {
 }
 _PLAIN = (
     value_hour_by_type, count_minute_none, rollup_all_masks, rollup_all_masks_wide, rollup_custom_masks, orders_by_status, cascade_day_from_hour, forever_totals, filter_in, filter_and_or_not, filter_null_tag,
-    filter_disabled, filter_unknown_value, filter_rolled_up, late_bump_store, retention_filter, purge_old, partials_merge, compacted, validate_split, xml_roundtrip, json_events, event_ids_capped, corr_complement,
+    filter_disabled, filter_unknown_value, filter_rolled_up, late_bump_store, retention_filter, purge_old, partials_merge, compacted, compacted_in_place, stored_scan, validate_split, xml_roundtrip, json_events, event_ids_capped, corr_complement,
     corr_intersect, tag_values, tag_values_partial, describe_source, stat_exists, finest_store, store_counts, result_group_sort_trim, result_nested_groups, mask_functions, time_functions,
 )
 

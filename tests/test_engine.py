@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -101,10 +102,10 @@ def test_store_and_search(spark, tmp_path):
     engine = Engine(spark, BOTH, str(tmp_path / "store"), NOW)
     ask = {"source_uuid": "v", "expression": tree("AND", term("Precision", "EQUALS", "minute"), term("colour", "EQUALS", "Red"))}
     assert engine.search(ask).count() == 0 and not store.exists(engine.partials(), VALUE)
-    assert engine.ingest(sample(spark, "v")).count() == 0
+    assert engine.ingest(sample(spark, "v"), 0).count() == 0
     once = engine.search(ask).collect()
     engine.ingest(sample(spark, "v"), 1)
-    engine.ingest(sample(spark, "v"), 1)
+    engine.ingest(sample(spark, "v"), 1, retry=True)
     twice = engine.search(ask).collect()
     assert len(once) == len(twice) == 5 * 4 and engine.search(ask).columns == [*VALUE.static_fields(), *VALUE.fields]
     assert sum(r["Statistic Count"] for r in twice) == 2 * sum(r["Statistic Count"] for r in once) == 8000
@@ -123,9 +124,75 @@ def test_store_and_search(spark, tmp_path):
         engine.search({"source_uuid": "nosuch"})
 
 
+def test_no_batch_is_lost(spark, tmp_path):
+    engine = Engine(spark, BOTH, str(tmp_path / "s"), NOW)
+    counted = lambda: engine.partials().where("store = 'DAY' and mask = 0").agg(F.sum("cnt")).first()[0]
+    for batch in (0, 1, 2):
+        engine.ingest(sample(spark, steps=8), batch)
+        assert counted() == (batch + 1) * 96
+    with pytest.raises(store.BatchExists):
+        engine.ingest(sample(spark, steps=8), 1)
+    assert engine.compact() == [0, 1] and store.batches(spark, engine.root) == [-2, 2] and counted() == 288 and engine.compact() == []
+    for taken in (0, 1, 2, -2):
+        with pytest.raises(store.BatchExists):
+            engine.ingest(sample(spark, steps=8), taken)
+    engine.ingest(sample(spark, steps=8), 2, retry=True)
+    assert counted() == 288
+    engine.ingest(sample(spark, steps=8), 3)
+    assert engine.compact() == [-2, 2] and store.batches(spark, engine.root) == [-3, 3] and counted() == 384
+
+
+def test_a_swap_that_was_cut_short_is_finished(spark, tmp_path, monkeypatch):
+    root = tmp_path / "s"
+    engine = Engine(spark, BOTH, str(root), NOW)
+    for batch in range(3):
+        engine.ingest(sample(spark, steps=8), batch)
+    monkeypatch.setattr(store, "finish", lambda *a: None)
+    engine.compact()  # ends when the list is there
+    assert [p.name for p in root.glob("_replaces*") if not p.name.endswith("crc")] == ["_replaces.0_1"]
+    shutil.rmtree(root / "batch_id=0")  # and one of the old batches has gone
+    monkeypatch.undo()
+    assert engine.partials().where("store = 'DAY' and mask = 0").agg(F.sum("cnt")).first()[0] == 288
+    assert store.batches(spark, engine.root) == [-2, 2] and not list(root.glob("_replaces*"))
+
+
+def test_events_are_read_once(spark, tmp_path):
+    """Of all grains and masks one scan, and a shuffle each for entering, time and masks; of two tags no more columns."""
+    sample(spark, steps=8).drop("error_code").write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e")).withColumn("error_code", F.lit(None).cast("string"))
+    two = Registry.of(StatConfig("c", "counts", "COUNT", "ALL", "SECOND", ("user", "colour"), enabled=True))
+    plan = rollup.partials_of(valid(events, two), two, NOW)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 1 and plan.count("Exchange hashpartitioning") == 3 and "tag_2" not in plan.split("Exchange hashpartitioning")[-1]
+
+
+def test_many_tags_go_one_at_a_time(spark, monkeypatch):
+    tags = tuple(f"t{i}" for i in range(8))
+    many = StatConfig("w", "wide", "COUNT", "ALL", "DAY", tags, enabled=True)
+    few = StatConfig("n", "narrow", "COUNT", "ALL", "DAY", tags[:2], enabled=True)
+    both = Registry.of(many, few)
+    each = spark.range(40).select(F.timestamp_millis(F.lit(NOW) - F.col("id")).alias("ts"), *((F.col("id") % (2 + i % 3)).cast("string").alias(t) for i, t in enumerate(tags)))
+    events = ev.from_table(each, "w", "ts", {t: t for t in tags}, F.lit(1)).unionByName(ev.from_table(each, "n", "ts", {t: t for t in tags[:2]}, F.lit(1)))
+    called = []
+    real = rollup.fan_out_wide
+    monkeypatch.setattr(rollup, "fan_out_wide", lambda partials, n: called.append(n) or real(partials, n))
+    wide = rollup.partials_of(valid(events, both), both, NOW).where("store = 'DAY'").cache()
+    assert called == [8] and {r["stat_uuid"]: r["n"] for r in wide.groupBy("stat_uuid").agg(F.count_distinct("mask").alias("n")).collect()} == {"w": 256, "n": 4}
+    monkeypatch.setattr(rollup, "WIDE", 256)
+    narrow = rollup.partials_of(valid(events, both), both, NOW).where("store = 'DAY'").cache()
+    assert called == [8] and wide.exceptAll(narrow).isEmpty() and narrow.exceptAll(wide).isEmpty()
+
+
+def test_strict_engines(spark, tmp_path):
+    off = Registry.of(StatConfig("c", "counts", fields=TAGS))
+    strict = Engine(spark, off, str(tmp_path / "s"), NOW, strict=True)
+    assert strict.ingest(sample(spark, steps=2), 0).count() == 24
+    with pytest.raises(UnsupportedRequest):
+        strict.search({"source_uuid": "c"})
+
+
 def test_pushed_down(spark, tmp_path):
     engine = Engine(spark, BOTH, str(tmp_path / "s"), NOW)
-    engine.ingest(sample(spark, steps=10))
+    engine.ingest(sample(spark, steps=10), 0)
     ask = {"source_uuid": "c", "expression": tree("AND", term("Date Time", "GREATER_THAN", "day()"), term("colour", "EQUALS", "Red")), "fields": [{"name": "n", "expression": "${Statistic Count}"}]}
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = engine.search(ask)._jdf.queryExecution().executedPlan().toString()
