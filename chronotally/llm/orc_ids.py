@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -16,47 +17,72 @@ from pyspark.sql import functions as F
 from .common import cut, in_order
 
 SCHEMA = "doc_id long, ids array<int>"
-#: A worker remembers the ids of so many words; then it starts anew.
-MEMORY = 500_000
-# Fixed value: how a word tokenizer of this kind cuts normalized text; white space always ends a piece and is dropped.
+#: A worker remembers the ids of so many words, and of so many of those before them.
+MEMORY = 200_000
+# How a word tokenizer of this kind normalizes text and cuts it; white space always ends a piece and is dropped.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A word of Latin-1 letters, then marks that no rule above joins to letters.
+#: A word of Latin-1 letters, which NFC leaves alone, then marks that no rule above joins to letters.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%&*#$?;:]*)")
 
 
-class Encoder(dict):
-    """A tokenizer's ids of words between blanks or line ends, as bytes of little-endian 32-bit integers, remembered.
+class Memory(dict):
+    """Bytes of what find() gives for a key. When MEMORY keys are held they become the older half, which is asked, too."""
 
-    Where a tokenizer drops white space, the ids of a text are those of its words in turn, so each word is encoded once.
-    For letters and marks alone the model is asked directly, lower-cased as the tokenizer's normalizer does."""
+    def __init__(self, find: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(key)
+        if out is None:
+            out = self.find(key)
+        self[key] = out
+        return out
+
+
+class Encoder:
+    """A tokenizer's ids of texts, as bytes of little-endian 32-bit integers.
+
+    Where a tokenizer drops white space, the ids of a text are those of its words between blanks or line ends in turn, so
+    each word is encoded once. Where its normalizer and its cuts are the ones above, letters and marks of a plain word are
+    pieces of their own, which the model is asked for in lower case. All else goes through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         shape = json.loads(self.tokenizer.to_str())
         steps = (shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        first = steps[0]
-        self.by_word = first.get("type") == "Split" and first.get("invert") is True and first.get("behavior") == "Removed" and first.get("pattern") == {"Regex": CUT} and len(steps) == 2
+        first, normalizer = steps[0], shape.get("normalizer") or {}
+        cuts = first.get("type") == "Split" and first.get("invert") is True and first.get("behavior") == "Removed" and first.get("pattern") == {"Regex": CUT}
+        bytes_only = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        # other normalizers could join or drop white space, and added tokens of letters or with blanks would be cut here
+        added = all(re.fullmatch(r"<\|\w+\|>", x["content"]) for x in shape.get("added_tokens") or [])
+        self.by_word = cuts and bytes_only and added and normalizer.get("type") == "Sequence" and normalizer.get("normalizers") == NORMALIZER
         byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: byte.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.pieces, self.words = Memory(self._piece), Memory(self._word)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         if found := PLAIN.fullmatch(word):
-            tokenize = self.tokenizer.model.tokenize
-            ids = [t.id for part in found.groups() if part for t in tokenize(part.lower().translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = self[word] = np.array(ids, "<u4").tobytes()
-        return out
+            letters, marks = found.groups()
+            return self.pieces[letters.lower()] + self.pieces[marks] if marks else self.pieces[letters.lower()]
+        return self._whole(word)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @cache
