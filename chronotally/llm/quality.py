@@ -1,7 +1,8 @@
 """Quality rules: repetition and length rules, and how far a document's histograms diverge from its language's.
 
 All of it is built of DataFrame functions over one row at a time. The language references are sums over all documents
-of a language, one row for each of the few languages that COMMON_WORDS lists, so they become literals of the second pass.
+of a language, one row for each of the few languages that COMMON_WORDS lists and one for all others, so they become
+literals of the second pass.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from .common import NOT_SPACE, computed, fresh, let, words
 
 # Frequent function words, most frequent first.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por"],
+    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on", "are", "as", "with", "be", "by", "at", "from", "this"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au"],
+    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo"],
 }
+#: Stands for all languages that COMMON_WORDS does not list, null included: they share one reference of character classes.
+OTHER = ""
 CLASSES = ["upper", "digit", "mark", "wide", "space", "small"]
 
 
@@ -37,7 +40,8 @@ class Limits:
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more, counted once each; windows are told apart by a 64-bit hash."""
+    """Words that lie in a 3-word window found twice or more, counted once each. Hashes show that a text has no such window;
+    where they don't, the windows' words are compared, joined by a space, which no word holds."""
     n = F.size(w)
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
@@ -57,17 +61,19 @@ def _repeat_words(w: Column) -> Column:
         # the same starts either way; a short list is searched faster than pairs are sorted
         return let(twice, lambda found: covered(F.when(F.size(found) <= 24, by_list(g, found)).otherwise(by_sort(g))))
 
-    return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(repeats(g)))
+    joined = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(joined, repeats)))
 
 
 def _class_counts(text: Column, w: Column) -> list[Column]:
-    """Code points by class, in the order of CLASSES; `wide` counts UTF-8 bytes beyond one for each code point, so one for
-    most letters with accents, and `small` is what no other class takes."""
+    """Code points by class, in the order of CLASSES: `wide` are those beyond ASCII, `space` ASCII white space and `small`
+    what no other class takes, so the counts add up to the text's length."""
     n = F.length(text)
     upper, digit = (F.length(F.regexp_replace(text, f"[^{x}]+", "")) for x in ("A-Z", "0-9"))
     mark = F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]"))
-    wide, space = F.octet_length(text) - n, n - F.length(F.array_join(w, ""))
-    return [upper, digit, mark, wide, space, F.greatest(F.lit(0), F.length(F.array_join(w, "")) - F.regexp_count(text, F.lit(r"[A-Z0-9!-/:-@\[-`{-~]")) - wide)]
+    wide = F.when(F.octet_length(text) == n, 0).otherwise(F.length(F.regexp_replace(text, r"[\x00-\x7F]+", "")))
+    space = n - F.length(F.array_join(w, ""))
+    return [upper, digit, mark, wide, space, n - upper - digit - mark - wide - space]
 
 
 def _common_counts(w: Column, lang: Column) -> Column:
@@ -88,8 +94,8 @@ def histograms(text: Column, w: Column, lang: Column) -> list[Column]:
 
 
 def features(df: DataFrame, text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
-    """Adds a struct `out` of what the rules look at: counts, and the two histograms."""
-    columns, whole = df.columns, F.coalesce(F.col(text), F.lit(""))
+    """Adds a struct `out`, in place of a column of that name, of what the rules look at: counts, and the two histograms."""
+    columns, whole = [c for c in df.columns if c.lower() != out.lower()], F.coalesce(F.col(text), F.lit(""))
     w, repeat = fresh(df, "words_of", "n_repeat_")
     df = df.withColumn(w, words(whole)).withColumn(repeat, _repeat_words(F.col(w)).cast("long"))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(NOT_SPACE))
@@ -103,23 +109,28 @@ def features(df: DataFrame, text: str = "text", lang: str = "lang", out: str = "
         F.col(lang).alias("lang"),
         *histograms(F.col(text), F.col(w), F.col(lang)),
     )
-    return computed(df, out, got).select(*columns, out)
+    [name] = fresh(df, out)
+    return computed(df, name, got).select(*columns, F.col(name).alias(out))
 
 
-def references(df: DataFrame, quality: str = "quality") -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of character classes and of common words over all documents of each language that COMMON_WORDS has, from
-    columns classes, common and lang of the struct `quality`. One grouped sum of at most one row for each listed language."""
+def _group(lang: Column) -> Column:
+    return F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise(OTHER)
+
+
+def references(df: DataFrame, quality: str = "quality") -> dict[str, tuple[list[float] | None, list[float] | None]]:
+    """Shares of character classes and of common words over all documents of each language that COMMON_WORDS has, and of
+    character classes over those of all other languages together, from columns classes, common and lang of the struct
+    `quality`. One grouped sum of one row for each listed language and one more."""
     k, q = len(CLASSES), lambda name: F.col(f"{quality}.{name}")
     sums = [F.sum(F.get(q("classes"), F.lit(i))).alias(f"c{i}") for i in range(k)]
     sums += [F.sum(F.get(q("common"), F.lit(i))).alias(f"w{i}") for i in range(1 + max(map(len, COMMON_WORDS.values())))]
     out = {}
-    for row in df.where(q("lang").isin(list(COMMON_WORDS))).groupBy(q("lang").alias("lang")).agg(*sums).collect():
+    for row in df.groupBy(_group(q("lang")).alias("lang")).agg(*sums).collect():
         both = []
         for part in (row[1 : 1 + k], row[1 + k :]):
             full = sum(x or 0 for x in part)
             both.append([(x or 0) / full for x in part] if full else None)
-        if all(both):
-            out[row["lang"]] = tuple(both)
+        out[row["lang"]] = tuple(both)
     return out
 
 
@@ -144,15 +155,17 @@ def judge(df: DataFrame, references: dict, limits: Limits = Limits(), quality: s
     """Replaces the struct of features() by one of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     class_distance, word_distance, base_failed and kept.
 
-    Null text counts as empty (no words, so rejected). A document whose language is null or has no reference is judged by
-    the base rules alone, and so is one too short for a histogram to mean much. Rows are judged one by one: repeated
-    rows get equal verdicts, an empty table gives an empty one, and columns of any other name stay as they are."""
+    Null text counts as empty (no words, so rejected). A document whose language is null or not listed is judged by its
+    character classes against those of all such documents together, not by words; one too short for a histogram to mean
+    much is judged by the base rules alone. Rows are judged one by one: repeated rows get equal verdicts, an empty table
+    gives an empty one, and columns of any other name stay as they are."""
     q = lambda name: F.col(f"{quality}.{name}")
 
     def share(i: int) -> Column:
         out = F.lit(None).cast("array<double>")
         for code, both in references.items():
-            out = F.when(q("lang") == code, F.array(*map(F.lit, both[i]))).otherwise(out)
+            if both[i]:
+                out = F.when(_group(q("lang")) == code, F.array(*map(F.lit, both[i]))).otherwise(out)
         return out
 
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
