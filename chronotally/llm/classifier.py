@@ -20,6 +20,10 @@ from .quality import COMMON_WORDS
 FEATURES = ["log_words", "upper", "digit", "mark", "wide", "space", "distinct", "common", "word_length", "dup_lines", "top_mark"]
 
 
+#: Up to so many sites are sent to all executors.
+SENT = 100_000
+
+
 @dataclass(frozen=True)
 class Training:
     """sample: the most labelled documents the model is fitted to; those whose ids have the least hashes are taken."""
@@ -103,21 +107,41 @@ def _moments(sites: DataFrame, key: str, prior: Column) -> float:
     return _strength(row[0] or 0, row[1] or 0.0, row[2] or 0, row[3] or 0.0, row[4] or 0.0, row[5] or 0.0)
 
 
+def training_rows(found: DataFrame, labels: DataFrame, training: Training) -> list:
+    """At most training.sample rows (found, label), one for each labelled id, those whose ids have the least hashes.
+
+    A limit on the hash that the number of labels gives comes first, so only about that many labels meet the features and
+    only their rows leave the executors. found has (id, found), labels (of, label) with one row for each id."""
+    n = labels.count()
+    share = min(1.0, (1.1 * training.sample + 1000) / max(1, n))
+    if share < 1:  # hashes are spread evenly, so the limit lets through the sample and a tenth more
+        labels = labels.where(F.xxhash64("of") < int(-(2**63) + share * 2**64))
+    near = found.join(F.broadcast(labels), F.col("id") == F.col("of"))  # of at most twice the sample
+    one = near.groupBy("of").agg(F.min(F.struct("found", "label")).alias("x")).select("x.*", F.xxhash64("of").alias("h"), "of")
+    return one.orderBy("h", "of").limit(training.sample).collect()
+
+
 def classify(df: DataFrame, labels: DataFrame, training: Training = Training(), text: str = "text", id_col: str = "doc_id", host: str = "host", path: str = "path") -> DataFrame:
     """(id, host, path, evidence, host_mean, path_mean, posterior, kept) of each row of documents.
 
-    labels has the id and `label`, 0 or 1; rows of other labels or of null ids are left out. The features of every
-    document are read once and written as numbers; the model is fitted to at most training.sample labelled ones. All else
-    is sums over all documents by host and path, formed before shuffling. A document's own evidence is taken out of its
-    site's means, so that nothing counts twice. Null text counts as empty and is not kept; a null host or path is a site
-    of its own; repeated rows count as often as they come and get equal results; an empty table gives none."""
+    labels has the id and `label`, 0 or 1; rows of other labels or of null ids are left out, and of several labels of one
+    id the greatest counts. The features of every document are read once and written as numbers; the model is fitted to at
+    most training.sample labelled ones, and the rest is combine(). Null text counts as empty and is not kept; a null host
+    or path is a site of its own; repeated rows count as often as they come and get equal results; an empty table gives none."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(host).alias("host"), F.col(path).alias("path"))
     found = cut(with_features(docs, "text", "found").withColumn("empty", F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).drop("text"))
     marked = labels.select(F.col(id_col).alias("of"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and of is not null").groupBy("of").agg(F.max("label").alias("label"))
-    sample = found.join(marked, F.col("id") == F.col("of")).select("found", "label", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(training.sample).collect()
+    sample = training_rows(found.select("id", "found"), cut(marked), training)
     model = fit(np.array([r["found"] for r in sample]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in sample], dtype=float), training)
     scored = cut(found.select("id", "host", "path", "empty", probability(F.col("found"), model).alias("p")))
+    return combine(scored, training.keep).select(F.col("id").alias(id_col), F.col("host").alias(host), F.col("path").alias(path), "evidence", "host_mean", "path_mean", "posterior", "kept")
+
+
+def combine(scored: DataFrame, keep: float) -> DataFrame:
+    """Adds evidence, host_mean, path_mean, posterior and kept to written rows (id, host, path, empty, p).
 
+    All is sums over all rows by host and path, formed before shuffling. A document's own p is taken out of its site's
+    means, so that nothing counts twice."""
     sums = lambda k: (F.count("*").alias(f"{k}_n"), F.sum("p").alias(f"{k}_p"), F.sum(F.col("p") ** 2).alias(f"{k}_pp"))
     paths = cut(scored.groupBy("host", "path").agg(*sums("path")))
     hosts = cut(paths.groupBy(F.col("host").alias("at")).agg(F.sum("path_n").alias("host_n"), F.sum("path_p").alias("host_p"), F.sum("path_pp").alias("host_pp")))
@@ -127,7 +151,7 @@ def classify(df: DataFrame, labels: DataFrame, training: Training = Training(),
     shrunk = (k_host * mean + F.col("host_p")) / (k_host + F.col("host_n"))
     sites = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("at"))).select(F.col("host").alias("at"), F.col("path").alias("of"), "path_n", "path_p", "path_pp", "host_n", "host_p"))
     k_path = _moments(sites, "path", shrunk)
-    few = F.broadcast(sites) if sites.count() <= 100_000 else sites
+    few = F.broadcast(sites) if sites.count() <= SENT else sites
     placed = scored.join(few, F.col("host").eqNullSafe(F.col("at")) & F.col("path").eqNullSafe(F.col("of")))
     host_mean = (k_host * mean + F.col("host_p") - F.col("p")) / (k_host + F.col("host_n") - 1)
     path_mean = (k_path * F.col("host_mean") + F.col("path_p") - F.col("p")) / (k_path + F.col("path_n") - 1)
@@ -135,4 +159,4 @@ def classify(df: DataFrame, labels: DataFrame, training: Training = Training(),
     placed = placed.withColumn("host_mean", host_mean).withColumn("path_mean", path_mean)
     placed = placed.withColumn("evidence", odds(F.col("p")) - float(np.log(mean / (1 - mean))))
     placed = placed.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + odds(F.col("path_mean"))))))
-    return placed.select(F.col("id").alias(id_col), F.col("host").alias(host), F.col("path").alias(path), "evidence", "host_mean", "path_mean", "posterior", ((F.col("posterior") >= training.keep) & ~F.col("empty")).alias("kept"))
+    return placed.select(*scored.columns, "evidence", "host_mean", "path_mean", "posterior", ((F.col("posterior") >= keep) & ~F.col("empty")).alias("kept"))
