@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,12 +18,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a session on one machine gets
+    a folder of its own, and a cluster's is refused, as its executors would write to disks that others don't see."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
-        own = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(own)
-    elif spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = f"{tempfile.gettempdir()}/checkpoints"
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -59,6 +62,14 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def with_column(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """As computed(), but a column that has the name, in whatever case, is replaced."""
+    [own] = fresh(df, name)
+    if own == name:
+        return computed(df, name, value)
+    return computed(df, own, value).drop(name).withColumnRenamed(own, name)
+
+
 def words(text: Column) -> Column:
     """The words between ASCII white space; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -42,12 +42,13 @@ def offset(source: Column, seed: int = 0) -> Column:
 
 
 def copies(df: DataFrame, by_source: DataFrame, order: list[str], source: str = "source", seed: int = 0) -> DataFrame:
-    """Adds source_size, target and copies (long) to rows of documents.
+    """Adds source_size, target and copies (long) to rows of documents, in place of columns that have these names.
 
     A document of a source is expected target / source_size times, so before the k-th of a source (from 0) stand k times
     as many expected copies. To these running sums one random offset is added; a document is taken once for each whole
     number that its own share steps over. Documents go in the given order, best by size: then what is taken of a source
     misses its target by about one document at most. Positions come from in_order(), which no hot source slows down."""
+    df = df.drop(*(c for c in df.columns if c.lower() in ("source_size", "target", "copies", "source_of")))
     [k] = fresh(df, "place_of")
     placed = in_order(df, [F.col(c) for c in order], [source], pos=k)
     b = by_source.select(F.col("source").alias("source_of"), "source_size", "target")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed, fresh, let
+from .common import fresh, let, with_column
 
 # The base shapes, as (kind, pattern of a match, group that counts, code points it needs).
 BASE = [
@@ -57,28 +57,39 @@ def places(text: Column, pattern: str | Column, keep: Callable[[Column], Column]
 
 
 def window_entropy(s: Column) -> Column:
-    """The most bits per character that a window of WINDOW characters of s has.
+    """The most bits per character that a window of WINDOW characters of s, all of them ASCII, has.
 
     Counts of the window's characters are kept up to date: each step adds one character and, once the window is full,
-    takes one away; of the sum of c * log2(c) over the counts only those two terms change."""
+    takes one away; of the sum of c * log2(c) over the counts only those two terms change. The counts are a string with
+    one place for each character, whose code is the count and 32 more: to replace one costs no walk over the others."""
     term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
     codes = F.transform(F.filter(F.split(s, ""), lambda x: x != ""), F.ascii)
+    held = lambda n, code: F.ascii(F.substring(n, code + 1, F.lit(1))) - 32
+    put = lambda n, code, count: F.overlay(n, F.char(count + 32), code + 1, F.lit(1))
 
     def step(c: Column):
         def one(a: Column, i: Column) -> Column:
-            new = F.get(c, i)
-            old = F.when(i >= WINDOW, F.get(c, i - WINDOW)).otherwise(F.lit(-1))
-            was_new, was_old = F.get(a["n"], new), F.coalesce(F.get(a["n"], old), F.lit(0))
-            same = new == old
-            total = a["sum"] + F.when(same, F.lit(0.0)).otherwise(term(was_new + 1) - term(was_new) + term(was_old - 1) - term(was_old))
-            counts = F.when(same, a["n"]).otherwise(F.transform(a["n"], lambda v, k: v + F.when(k == new, 1).when(k == old, -1).otherwise(0)))
-            bits = F.log2(F.lit(float(WINDOW))) - total / WINDOW
-            most = F.when(i >= WINDOW - 1, F.greatest(a["most"], bits)).otherwise(a["most"])
-            return F.struct(counts.alias("n"), total.alias("sum"), most.alias("most"))
+            new, old = F.get(c, i), F.get(c, i - WINDOW)
+
+            def full(x: Column) -> Column:
+                less = held(a["n"], old)
+                kept = put(a["n"], old, less - 1)
+                more = held(kept, new)
+                return F.struct(put(kept, new, more + 1).alias("n"), (x + term(less - 1) - term(less) + term(more + 1) - term(more)).alias("sum"))
+
+            def filling(x: Column) -> Column:
+                more = held(a["n"], new)
+                return F.struct(put(a["n"], new, more + 1).alias("n"), (x + term(more + 1) - term(more)).alias("sum"))
+
+            same = (i >= WINDOW) & (new == old)
+            now = F.when(same, F.struct(a["n"].alias("n"), a["sum"].alias("sum"))).when(i >= WINDOW, full(a["sum"])).otherwise(filling(a["sum"]))
+            bits = lambda x: F.log2(F.lit(float(WINDOW))) - x["sum"] / WINDOW
+            most = lambda x: F.when((i >= WINDOW - 1) & (bits(x) > a["most"]), bits(x)).otherwise(a["most"])
+            return let(now, lambda x: F.struct(x["n"].alias("n"), x["sum"].alias("sum"), most(x).alias("most")))
 
         return one
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
+    start = F.struct(F.repeat(F.lit(" "), F.lit(128)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
     return let(codes, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), start, step(c), lambda a: a["most"]))
 
 
@@ -129,8 +140,9 @@ def written(spans: Column) -> Column:
 
 
 def detect(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
-    """Adds the detections as column `out`; other columns, whatever their names and nulls, stay as they are."""
-    return computed(df, out, scan(F.col(text)))
+    """Adds the detections as column `out`, in place of one that has its name; other columns, whatever their nulls, stay as
+    they are. Null and empty texts have none, repeated rows agree, and an empty table gives none."""
+    return with_column(df, out, scan(F.col(text)))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -25,17 +25,20 @@ def _quotas(wanted: Mapping[tuple[int, int], int], linked: list[int], room: list
     return out
 
 
-def propagate(cells: DataFrame, room: list[int], rounds: int = 6) -> DataFrame:
+def propagate(cells: DataFrame, room: list[int]) -> DataFrame:
     """Rounds of label propagation over cells (g, shard, n): n linked documents of group g stand in a shard.
 
     All members of a group are neighbours, and those in one shard are alike, so a cell moves as one. Each round every
     group names the shard that holds most of it (ties by hash); its other cells ask to move there. The number of
     requests from each shard to each other, shards^2 numbers, comes to the driver, which grants quotas so that no shard
     gets more linked documents than it has room for. Requests are granted in a fixed order until the quota is used up,
-    the last one in part. Cells are summed and written to the checkpoint folder each round. Ends when nothing moves."""
+    the last one in part. Cells are summed and written to the checkpoint folder each round. Ends when nothing may move:
+    a round uses up the swaps of each pair of shards and the free places, each document that moves joins the shard that
+    its group has most of, and no such shard is given up, so the rounds come to an end, and mostly after two or three.
+    Requests that go round in a circle of three shards or more are not granted, so a group may stay cut; see left_cut()."""
     spark, shards = cells.sparkSession, range(len(room))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for _ in range(rounds):
+    while True:
         best = cells.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "shard").alias("tie"), F.col("shard").alias("to"))).alias("best")).select("g", F.col("best.to").alias("to"))
         asked = cut(cells.join(best, "g").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int")))
         held = {(r["shard"], r["to"]): r["n"] for r in asked.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
@@ -43,7 +46,7 @@ def propagate(cells: DataFrame, room: list[int], rounds: int = 6) -> DataFrame:
         wanted = {k: n for k, n in held.items() if k[0] != k[1]}
         quota = {k: n for k, n in _quotas(wanted, linked, room).items() if n}
         if not quota:
-            break
+            return cells
         moving = F.col("shard") != F.col("to")
         by_part = asked.where(moving).groupBy("shard", "to", "part").agg(F.sum("n").alias("n"))
         earlier = Window.partitionBy("shard", "to").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +61,11 @@ def propagate(cells: DataFrame, room: list[int], rounds: int = 6) -> DataFrame:
         split = placed.withColumn("goes", goes).select("g", F.explode(F.array(F.struct(F.col("to").alias("shard"), F.col("goes").alias("n")), F.struct(F.col("shard").alias("shard"), (F.col("n") - F.col("goes")).alias("n")))).alias("c")).select("g", "c.*")
         stay = asked.where(~moving).select("g", "shard", "n")
         cells = cut(stay.unionByName(split.where("n > 0")).groupBy("g", "shard").agg(F.sum("n").alias("n")))
-    return cells
+
+
+def left_cut(cells: DataFrame, room: list[int]) -> int:
+    """How many groups stand in more than one shard although one shard could hold them."""
+    return cells.groupBy("g").agg(F.count("*").alias("cells"), F.sum("n").alias("n")).where((F.col("cells") > 1) & (F.col("n") <= max(room))).count()
 
 
 def assign(df: DataFrame, shards: int = 8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
