@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import intervals, masks
-from .functions.text import id_text
+from .functions.text import id_text, tags_text
 from .operators import rollup, search, store, validate
 from .operators.correlate import Correlator
 from .plans import model
 from .plans.model import Registry, StatConfig
 from .plans.request import term, tree
 from .sources import events as ev
+from .streaming import ingest
 
 #: 2024-01-31T00:00Z, which is now wherever now matters.
 NOW = 1_706_659_200_000
@@ -247,6 +248,57 @@ def stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(store.read(spark, root), Registry.of(VALUE), request, NOW)
 
 
+def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of files, run to its end into a store that is asked then; events of user 7, made bad, are set aside."""
+    root, registry = _root(spark), Registry.of(VALUE)
+    # a stream of files takes folders and patterns, and the table may be one file
+    messages = ev.read_stream(spark, f"{sf_dir}/events*.parquet", _table(spark, sf_dir, "events").schema.simpleString()[7:-1].replace(":", " "))
+    decode = lambda df: ev.from_table(df, VALUE.uuid, "ts", {"event_type": F.col("event_type"), "user": "user_id"}, value=F.when(F.col("user_id") != 7, F.col("value")))
+    ingest.start(messages, decode, registry, root, f"{root}-bad", f"{root}-offsets", lambda: NOW, available_now=True).awaitTermination()
+    bad = spark.read.parquet(f"{root}-bad").select(F.lit(None).cast("long").alias("bucket_ms"), F.lit("bad").alias("event_type"))
+    request = {"source_uuid": VALUE.uuid, "expression": _at(precision="HOUR"), "fields": [_field("bucket_ms", model.TIME), _field("event_type"), _field("n", model.COUNT)]}
+    return search.search(store.read(spark, root), registry, request, NOW).unionByName(bad.groupBy("bucket_ms", "event_type").agg(F.count("*").alias("n")))
+
+
+def reduction_by_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how many percent hourly partials are fewer than their events, under each mask."""
+    rows = _partials(_events(spark, sf_dir), VALUE).where("store = 'HOUR'")
+    return rows.groupBy("mask").agg(F.round(rollup.reduction_percent(F.sum("cnt"), F.count("*")), 6).alias("percent"))
+
+
+def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, null_errors=True).groupBy(tags_text(F.col("tags")).alias("tags")).agg(F.count("*").alias("n"))
+
+
+def purge_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two statistics are stored and all data of one are dropped."""
+    root, both = _root(spark), Registry.of(VALUE, COUNT)
+    rows = _events(spark, sf_dir).unionByName(_events(spark, sf_dir, COUNT))
+    store.write_batch(rollup.partials_of(validate.good(validate.validate(rows, both)), both, NOW), root, 0)
+    store.purge_all(spark, root, [VALUE.uuid])
+    return store.read(spark, root).where("mask = 0").groupBy("stat_uuid", "store").agg(F.sum("cnt").alias("n"))
+
+
+def filter_single_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches of one child mean their child, and a NOT of a NOT nothing."""
+    one = tree("OR", tree("AND", tree("OR", term("event_type", "EQUALS", "click"))))
+    return _ask(spark, sf_dir, VALUE, _at(tree("NOT", tree("NOT", one)), tree("AND", term("user", "IN", "1,2,3")), precision="DAY"), [*MEASURED, _field("user")])
+
+
+def date_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates counted from now by several steps."""
+    dated = term(model.TIME, "BETWEEN", "month() + 1w - 12h,day() - 1w")
+    return _ask(spark, sf_dir, VALUE, _at(dated, precision="HOUR"), MEASURED)
+
+
+def configured_by_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statistic whose fields and one custom mask are declared in XML."""
+    fields = "".join(f"<field><fieldName>{f}</fieldName></field>" for f in TAGS)
+    xml = f"<data>{fields}<customRollUpMask><rolledUpTagPosition>1</rolledUpTagPosition></customRollUpMask></data>"
+    config = model.config_from_xml(xml, "events-xml", "Events by XML", kind="VALUE", precision="HOUR", enabled=True)
+    return _masked(spark, _partials(_events(spark, sf_dir, config), config), config, "HOUR")
+
+
 def validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.get("ids", F.lit(0)).cast("long"), F.lit(10))
     rows = _events(spark, sf_dir).withColumn("part", part)
@@ -375,6 +427,13 @@ _SQL: dict[str, str] = {
     "partials_merge": _sql({**_DAYS, **_TYPE}),
     "compacted_in_place": _sql({"bucket_ms": _bucket(3_600_000), **_TYPE}),
     "stored_scan": _sql({"bucket_ms": _bucket(3_600_000), **_TYPE, **_USER}, f"event_type IN ('click', 'view') AND user_id BETWEEN 1 AND 9 AND {WEEK_SQL}"),
+    "streamed_ingest": f"SELECT {_bucket(3_600_000)} bucket_ms, event_type, count(*) n FROM events WHERE user_id <> 7 GROUP BY 1, 2 UNION ALL SELECT NULL::BIGINT, 'bad', count(*) FROM events WHERE user_id = 7 HAVING count(*) > 0",
+    "reduction_by_mask": f"SELECT mask, round(100 - count(*) / sum(n) * 100, 6) AS \"percent\" FROM ({_CUBE}) GROUP BY 1",
+    "tag_texts": f"SELECT 'event_type|' || coalesce(event_type, '') || ',user|' || user_id AS tags, count(*) n FROM {_NULLED} GROUP BY 1",
+    "purge_one": "SELECT 'events-count' AS stat_uuid, s AS store, count(*) n FROM events, (SELECT unnest(['MINUTE', 'HOUR', 'DAY', 'FOREVER']) s) GROUP BY 2",
+    "filter_single_children": _sql({**_DAYS, **_USER}, "event_type = 'click' AND user_id BETWEEN 1 AND 3"),
+    "date_steps": _sql({"bucket_ms": _bucket(3_600_000)}, f"{_bucket(3_600_000)} BETWEEN 1704628800000 AND 1706054400000"),
+    "configured_by_xml": f"SELECT * FROM ({_CUBE}) WHERE mask IN (0, 2)",
     "compacted": """WITH e AS (SELECT (epoch_us(ts) // 1000) t, event_type a, user_id b FROM events),
  s AS (SELECT * FROM (VALUES ('SECOND', 1000), ('MINUTE', 60000), ('HOUR', 3600000), ('DAY', 86400000), ('FOREVER', 9000000000000000000)) v(store, step)), m AS (SELECT unnest(range(4)) mask),
  k AS (SELECT store, mask::INTEGER mask, t // step, CASE WHEN mask & 1 <> 0 THEN '*' ELSE a END, CASE WHEN mask & 2 <> 0 THEN '*' ELSE b::VARCHAR END, count(*) c FROM e, s, m WHERE store <> 'SECOND' OR t >= 1706486400000 GROUP BY ALL)
@@ -404,7 +463,8 @@ _SQL: dict[str, str] = {
 }
 _PLAIN = (
     value_hour_by_type, count_minute_none, rollup_all_masks, rollup_all_masks_wide, rollup_custom_masks, orders_by_status, cascade_day_from_hour, forever_totals, filter_in, filter_and_or_not, filter_null_tag,
-    filter_disabled, filter_unknown_value, filter_rolled_up, late_bump_store, retention_filter, purge_old, partials_merge, compacted, compacted_in_place, stored_scan, validate_split, xml_roundtrip, json_events, event_ids_capped, corr_complement,
+    filter_disabled, filter_unknown_value, filter_rolled_up, late_bump_store, retention_filter, purge_old, partials_merge, compacted, compacted_in_place, stored_scan, streamed_ingest, reduction_by_mask, tag_texts, purge_one, filter_single_children,
+    date_steps, configured_by_xml, validate_split, xml_roundtrip, json_events, event_ids_capped, corr_complement,
     corr_intersect, tag_values, tag_values_partial, describe_source, stat_exists, finest_store, store_counts, result_group_sort_trim, result_nested_groups, mask_functions, time_functions,
 )
 

@@ -11,7 +11,7 @@ from chronotally import queries as own
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")
-NAMES = ["value_hour_by_type", "count_minute_none", "rollup_all_masks", "rollup_custom_masks", "orders_by_status", "filter_and_or_not", "late_bump_store", "compacted", "compacted_in_place", "stored_scan", "auto_precision_second", "validate_split", "xml_roundtrip", "event_ids_capped", "corr_complement", "corr_intersect", "date_between", "auto_precision_day", "mask_functions", "time_functions", "describe_source"]
+NAMES = ["value_hour_by_type", "count_minute_none", "rollup_all_masks", "rollup_custom_masks", "orders_by_status", "filter_and_or_not", "late_bump_store", "compacted", "compacted_in_place", "stored_scan", "streamed_ingest", "reduction_by_mask", "tag_texts", "purge_one", "filter_single_children", "date_steps", "configured_by_xml", "auto_precision_second", "validate_split", "xml_roundtrip", "event_ids_capped", "corr_complement", "corr_intersect", "date_between", "auto_precision_day", "mask_functions", "time_functions", "describe_source"]
 
 
 @pytest.mark.parametrize("name", NAMES)
