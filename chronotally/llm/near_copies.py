@@ -34,8 +34,6 @@ _MULTIPLIERS = _random.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(
 _ADDED = _random.integers(0, 2**63, LONGS, dtype=np.uint64)
 #: Fingerprints of one key are compared in blocks of about so many, and sets in blocks of about so many shingles.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 17
-#: How often every key's nodes are compared with one of them before what is left is compared in blocks.
-STARS = 2
 #: Up to so many rows are sent to all executors to find theirs.
 SENT = 100_000
 #: A worker remembers the hashes of so many words; then it starts anew.
@@ -231,24 +229,29 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
 
 def _dealt(rows: DataFrame, weight: Column, block: int, more: DataFrame) -> DataFrame:
     """rows (key, node, asks, ...) joined with `more` by node and dealt by key into places of about `block` in weight on
-    either side: an asking row of block i meets the rows of every block j in place i * blocks + j. Sorted by key and place."""
-    sums = rows.groupBy("key").agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("asks"), weight)).alias("ask"))
-    sums = sums.select("key", *(F.ceil(F.greatest(F.lit(1), F.coalesce(c, F.lit(1))) / block).cast("int").alias(c) for c in ("all", "ask")))
+    either side: an asking row of block i meets the rows of every block j in place i * blocks + j. Sorted by key and place.
+    A key of one block has one place, 0, and meets no list of blocks."""
+    sums = rows.groupBy("key").agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("asks"), weight)).alias("ask")).where(F.col("all") > block)
+    hot = cut(sums.select("key", *(F.ceil(F.greatest(F.lit(1), F.coalesce(c, F.lit(1))) / block).cast("int").alias(c) for c in ("all", "ask"))))
+    if hot.isEmpty():
+        dealt = rows.withColumn("place", F.lit(0)).join(more, "node")
+        return dealt.repartition("key", "place").sortWithinPartitions("key", "place")
+    listed = rows.join(_sent(hot), "key", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("all", "ask")})
     mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     of = lambda place, asks: F.struct(place.cast("int").alias("place"), F.lit(asks).alias("asks"))
     met = F.transform(F.sequence(F.lit(0), F.col("ask") - 1), lambda i: F.struct((i * F.col("all") + mine(F.col("all"))).cast("int").alias("place"), (F.col("asks") & (i == mine(F.col("ask")))).alias("asks")))
     # the asking row stands in its own block's place already, with that mark
     asked = F.when(F.col("asks"), F.filter(F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: of(mine(F.col("ask")) * F.col("all") + j, True)), lambda x: x["place"] != mine(F.col("ask")) * F.col("all") + mine(F.col("all"))))
     spread = F.concat(met, F.coalesce(asked, F.array().cast("array<struct<place:int,asks:boolean>>")))
-    dealt = rows.join(sums, "key").select("key", *(c for c in rows.columns if c not in ("key", "asks")), F.inline(spread)).join(more, "node")
+    dealt = listed.select("key", *(c for c in rows.columns if c not in ("key", "asks")), F.inline(spread)).join(more, "node")
     return dealt.repartition("key", "place").sortWithinPartitions("key", "place")
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes (node, n, FP, keys, id, h), few enough and yet with the components of all candidates' links.
 
-    STARS times, every key's nodes are compared with its least one, which then leaves the key; so does a key whose other
-    nodes are all connected. That settles dense groups with one link a node, and small keys whole. In the keys that stay,
+    Every key's nodes are compared with its least and its greatest one at once, which then leave the key; so does a key whose
+    other nodes are all connected. That settles dense groups with one link a node, and small keys whole. In the keys that stay,
     the nodes outside of one component are compared with all others: their fingerprints in blocks, then the sets of those
     that have candidates. texts has (id, h, t), the documents to take sets from."""
     fps = nodes.select("node", "n", *FP)
@@ -262,23 +265,20 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         return more if sets is None else sets.unionByName(more)
 
     filed = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1").drop("size")
-    rest = cut(filed.join(sizes, "key").withColumn("root", F.col("node")).withColumn("first_root", F.col("first")))
+    ends = filed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    rest = cut(filed.join(ends, "key"))
     of = lambda side: fps.select(*(F.col(c).alias(f"{side}_{c}") for c in fps.columns))
-    seen = near = None
-    for _ in range(STARS):
-        pairs = rest.where("node <> first and root <> first_root").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        beside = pairs.join(of("b"), F.col("b") == F.col("b_node")).join(of("a"), F.col("a") == F.col("a_node"))
-        stars = cut(beside.where(_near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b"))
-        sets = with_sets_of(stars.select(F.col("a").alias("node")).union(stars.select("b")))
-        found = cut(verified(stars, sets))
-        seen, near = (stars, found) if seen is None else (seen.unionByName(stars), near.unionByName(found))
-        root = components(near).select(F.col("node").alias("of"), F.col("root").alias("of_root"))
-        left = rest.where("node <> first").select("key", "node").join(root, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("of_root", "node").alias("root"))
-        firsts = left.groupBy("key").agg(F.min(F.struct("node", "root")).alias("x"), F.min("root").alias("main"), F.max("root").alias("last")).where("main <> last")
-        rest = cut(left.join(firsts.select("key", F.col("x.node").alias("first"), F.col("x.root").alias("first_root"), "main"), "key"))
-    opened = rest.select("key", "node", "root", (F.col("root") != F.col("main")).alias("asks"))
+    inner = rest.where("node <> first and node <> last")
+    star = lambda rows, centre: rows.where(F.col("node") != F.col(centre)).select(F.col(centre).alias("a"), F.col("node").alias("b"))
+    pairs = star(rest, "first").union(star(inner, "last")).distinct()
+    beside = pairs.join(of("b"), F.col("b") == F.col("b_node")).join(of("a"), F.col("a") == F.col("a_node"))
+    stars = cut(beside.where(_near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b"))
+    sets = with_sets_of(stars.select(F.col("a").alias("node")).union(stars.select("b")))
+    near = cut(verified(stars, sets))
+    root = components(near).select(F.col("node").alias("of"), F.col("root").alias("of_root"))
+    left = inner.select("key", "node").join(root, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("of_root", "node").alias("root"))
+    mains = left.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("other")).where("main <> other").drop("other")
+    opened = cut(left.join(mains, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("asks")))
     kinds = "key int, node long, root long, asks boolean, n int, " + ", ".join(f"{f} long" for f in FP)
     close = _dealt(opened, F.lit(1), BLOCK, fps).mapInPandas(_grouped(_close), kinds)
     # a row that asks in one place may be asked in others

@@ -7,6 +7,7 @@ import random
 from test_llm import SCHEMA
 
 import corpus_pipeline
+from chronotally.llm import near_copies
 
 
 def test_stages(spark, tmp_path):
@@ -45,3 +46,23 @@ def test_edited_copies_go(spark):
     edited = [f"new{i}" if i % 50 == 20 else w for i, w in enumerate(own)]  # four words of 200: a similarity of 0.81
     docs = spark.createDataFrame([(1, " ".join(own), "en", "s", 0), (2, " ".join(edited), "en", "s", 0)], SCHEMA)
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
+
+
+def test_near_copies_meet_their_keys_once(spark, monkeypatch):
+    """A group of near copies is settled by one round of stars, and its keys' rows meet lists of keys twice at most."""
+    rng = random.Random(7)
+    own = [f"w{rng.randrange(1000)}" for _ in range(200)]
+    texts = [" ".join(f"new{k}" if i == k * 5 else w for i, w in enumerate(own)) for k in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, "something else altogether"])], SCHEMA)
+    rounds, listed, components, cut = [], [], near_copies.components, near_copies.cut
+
+    def counted(df):
+        out = cut(df)
+        if {"key", "node"} <= set(out.columns):
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "components", lambda edges: rounds.append(1) or components(edges))
+    monkeypatch.setattr(near_copies, "cut", counted)
+    assert sorted(r["doc_id"] for r in near_copies.dedupe(docs).collect()) == [0, 12]
+    assert len(rounds) == 2 and len(listed) == 3 and listed[0] <= 72 * 12 and listed[1:] == [0, 0]
