@@ -14,6 +14,8 @@ from ..plans.model import Registry, StatConfig
 from .rollup import COLUMNS, KEYS, SCHEMA, TAGS, checkpointed, merge
 
 PARTITIONS = ["store", "stat_uuid", "row_bucket"]
+#: About so many partials are merged, or sorted and written, by one task, and so many bytes of stored files are read by one that merges.
+ROWS, READ_BYTES = 200_000, 8 << 20
 
 
 class BatchExists(ValueError):
@@ -26,9 +28,28 @@ def write_batch(partials: DataFrame, root: str, batch_id: int) -> None:
     Rows are computed once and written to the checkpoint folder. They are dealt by what they are partitioned by, by bucket
     and by tags, so many tasks write a large statistic's block, and one with a single bucket, too."""
     finish(partials.sparkSession, root)
+    _write(partials, f"{root.rstrip('/')}/batch_id={batch_id}")
+
+
+def _write(partials: DataFrame, path: str) -> None:
     order = [*PARTITIONS, "mask", "bucket_ms", *TAGS[:3]]
-    dealt = checkpointed(partials.select(*COLUMNS)).repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{root.rstrip('/')}/batch_id={batch_id}")
+    rows = checkpointed(partials.select(*COLUMNS))
+    dealt = rows.repartitionByRange(_tasks(rows), *order).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+
+
+def _tasks(rows: DataFrame) -> int:
+    return rows.count() // ROWS + 1
+
+
+def _merged(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+    """One partial for each key of the stored files. Rows of a batch have different keys already, so they are dealt before
+    they are merged, and no task gathers what it has read: many partials lie in few bytes, so tasks are cut by rows."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", READ_BYTES)
+    rows = own.read.schema(SCHEMA + ", batch_id long").option("basePath", base).parquet(*paths).select(*COLUMNS)
+    keys = [*KEYS, "row_bucket"]
+    return merge(rows.repartition(_tasks(rows), *keys), keys)
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -63,7 +84,11 @@ def refuse_known(spark: SparkSession, root: str, batch_id: int) -> None:
 def compact(spark: SparkSession, root: str, to: str) -> None:
     """Writes one partial for each key of all batches to another root, under the number of merged batches."""
     last = max((n if n >= 0 else -1 - n for n in batches(spark, root)), default=-1)
-    write_batch(merge(read(spark, root), [*KEYS, "row_bucket"]), to, -1 - last)
+    finish(spark, root)
+    files, path = _files(spark, root)
+    base = root.rstrip("/")
+    filled = bool(files.exists(path(root)) and files.globStatus(path(f"{base}/batch_id=*/store=*")))
+    write_batch(_merged(spark, base, [base]) if filled else read(spark, root), to, -1 - last)
 
 
 #: The merged rows and the list of what they replace, while batches are being merged in place; readers don't see such names.
@@ -82,10 +107,7 @@ def compact_in_place(spark: SparkSession, root: str) -> list[int]:
     if len(old) < 2:
         return []
     base = root.rstrip("/")
-    rows = spark.read.schema(SCHEMA + ", batch_id long").option("basePath", base).parquet(*(f"{base}/batch_id={n}" for n in old)).select(*COLUMNS)
-    order = [*PARTITIONS, "mask", "bucket_ms", *TAGS[:3]]
-    merged = checkpointed(merge(rows, [*KEYS, "row_bucket"]).select(*COLUMNS)).repartitionByRange(*order).sortWithinPartitions(*order)
-    merged.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{base}/{_NEW}")
+    _write(_merged(spark, base, [f"{base}/batch_id={n}" for n in old]), f"{base}/{_NEW}")
     files, path = _files(spark, root)
     with_list = f"{base}/{_SWAP}.{'_'.join(map(str, old))}"
     files.create(path(with_list), True).close()

@@ -294,3 +294,19 @@ def test_correlator(spark):
         c.intersection(["today"])
     with pytest.raises(ValueError):
         c.add("more", spark.createDataFrame([("x",)], "user string"))
+
+
+def test_compaction_deals_rows_before_it_merges(spark, tmp_path, monkeypatch):
+    """Tasks are cut by rows, and stored rows are not gathered by the tasks that read them."""
+    monkeypatch.setattr(store, "ROWS", 100)
+    engine = Engine(spark, BOTH, str(tmp_path / "store"), NOW)
+    for batch in range(3):
+        engine.ingest(sample(spark, steps=8), batch)
+    read = lambda: {tuple(r)[:-4]: (r["cnt"],) for r in rollup.merge(engine.partials(), rollup.KEYS).collect()}
+    before, seen, checkpointed = read(), [], store.checkpointed
+    monkeypatch.setattr(store, "checkpointed", lambda df: seen.append(df) or checkpointed(df))
+    stored = spark.read.option("basePath", engine.root).parquet(*(f"{engine.root}/batch_id={n}" for n in (0, 1))).count()
+    assert engine.compact() == [0, 1] and read() == before
+    [merged] = seen
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert merged.rdd.getNumPartitions() == stored // 100 + 1 > 2 and plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
