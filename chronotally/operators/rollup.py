@@ -7,6 +7,8 @@ fields), cnt, total, least, most. Partials of one key merge by sum, sum, min and
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +22,8 @@ MEASURES = ["cnt", "total", "least", "most"]
 KEYS = ["store", "stat_uuid", "mask", "bucket_ms", *TAGS]
 #: Statistics of more masks than this are fanned out one tag at a time.
 WIDE = 64
+#: About so many bytes of files, or of shuffled rows, go to one task of what is written out: its copies take many times that memory.
+TASK_BYTES = 8 << 20
 COLUMNS = ["store", "stat_uuid", "mask", "row_bucket", "bucket_ms", *TAGS, *MEASURES]
 SCHEMA = "store string, stat_uuid string, mask int, row_bucket long, bucket_ms long, " + ", ".join(f"{t} string" for t in TAGS) + ", cnt long, total double, least double, most double"
 
@@ -64,11 +68,9 @@ def base(valid: DataFrame, now_ms: int, retention: dict[str, int] = intervals.RE
 def cascade(entered: DataFrame) -> DataFrame:
     """Partials of every grain, from the one where they enter: each is copied to the grains from there on, at most five
     times, and merged by grain and bucket. One scan and one shuffle; copies are merged in each task before it."""
-    raised: Column = F.array().cast("array<struct<store:string,bucket_ms:bigint>>")
-    for k, i in enumerate(intervals.INTERVALS):
-        finer = [j.name for j in intervals.INTERVALS[: k + 1]]
-        here = F.struct(F.lit(i.name).alias("store"), intervals.bucket(F.col("bucket_ms"), i).cast("long").alias("bucket_ms"))
-        raised = F.concat(raised, F.when(F.col("store").isin(finer), F.array(here)).otherwise(F.array().cast("array<struct<store:string,bucket_ms:bigint>>")))
+    raised = F.array(*(F.struct(F.lit(i.name).alias("store"), intervals.bucket(F.col("bucket_ms"), i).cast("long").alias("bucket_ms")) for i in intervals.INTERVALS))
+    first = F.array_position(F.array(*(F.lit(i.name) for i in intervals.INTERVALS)), F.col("store")).cast("int")
+    raised = F.slice(raised, first, len(intervals.INTERVALS))
     rest = [c for c in entered.columns if c not in ("store", "bucket_ms")]
     return merge(entered.select(*rest, F.inline(raised)), ["store", "stat_uuid", "bucket_ms", *tags_of(entered)])
 
@@ -98,7 +100,7 @@ def _keys(partials: DataFrame) -> list[str]:
 
 def fan_out_wide(partials: DataFrame, tags: int) -> DataFrame:
     """As fan_out() for statistics that roll up ALL of their `tags` tags, one tag at a time: partials with a tag rolled up
-    come from merged ones, so that 2^n copies of every partial are never made at once. Each step is written out."""
+    come from merged ones, so that 2^n copies of every partial are never made at once. Each step is written out, in small tasks."""
     done = partials.withColumn("mask", F.lit(0))
     for i, t in enumerate(TAGS[:tags]):
         rolled = merge(done.withColumn(t, F.lit(masks.ROLLED_UP)).withColumn("mask", F.col("mask").bitwiseOR(F.lit(1 << i))), _keys(partials))
@@ -108,7 +110,26 @@ def fan_out_wide(partials: DataFrame, tags: int) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with small_tasks(df.sparkSession):
+        return df.checkpoint()
+
+
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile has tasks of TASK_BYTES, or of a part of the shuffle if that is more: a task of the 64 MB and more that Spark
+    gives it by itself holds millions of partials, and copies of each. The session's settings are put back."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, TASK_BYTES)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -143,8 +164,12 @@ def kept(partials: DataFrame, now_ms: int, retention: dict[str, int] = intervals
 
 def partials_of(valid: DataFrame, registry: Registry, now_ms: int, retention: dict[str, int] = intervals.RETENTION) -> DataFrame:
     """All partials of validated events: every grain from where they enter, under every mask."""
-    tags = max((len(c.fields) for c in registry.configs.values()), default=0)
-    return kept(fan_out(cascade(base(valid, now_ms, retention, tags)), registry), now_ms, retention)
+    return kept(fan_out(cascade(base(valid, now_ms, retention, widest(registry))), registry), now_ms, retention)
+
+
+def widest(registry: Registry) -> int:
+    """The most tags that a statistic has."""
+    return max((len(c.fields) for c in registry.configs.values()), default=0)
 
 
 def event_ids(valid: DataFrame, i: intervals.Interval, most: int, order: str = "id") -> DataFrame:

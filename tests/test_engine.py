@@ -310,3 +310,12 @@ def test_compaction_deals_rows_before_it_merges(spark, tmp_path, monkeypatch):
     [merged] = seen
     plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert merged.rdd.getNumPartitions() == stored // 100 + 1 > 2 and plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_wide_fan_out_has_small_tasks(spark, monkeypatch):
+    name, events, seen = "spark.sql.adaptive.advisoryPartitionSizeInBytes", valid(sample(spark, steps=40)), []
+    real, before = type(events).checkpoint, spark.conf.get(name, None)
+    monkeypatch.setattr(type(events), "checkpoint", lambda df: seen.append(df.sparkSession.conf.get(name)) or real(df))
+    made = rollup.fan_out_wide(rollup.cascade(rollup.base(events, NOW, tags=3)), 3)
+    assert [int(s.rstrip("b")) for s in seen] == [rollup.TASK_BYTES] * 3 and spark.conf.get(name, None) == before
+    assert made.where("store = 'FOREVER' and mask = 7").first()["cnt"] == 480
