@@ -33,7 +33,7 @@ class Engine:
         if not retry:
             store.refuse_known(self.spark, self.root, batch_id)
         checked = validate.validate(events, self.registry, self.strict)
-        store.write_batch(rollup.partials_of(validate.good(checked), self.registry, self.now_ms, self.retention), self.root, batch_id)
+        store.write_batch(rollup.partials_of(validate.good(checked), self.registry, self.now_ms, self.retention), self.root, batch_id, rollup.widest(self.registry))
         return validate.bad(checked)
 
     def partials(self) -> DataFrame:

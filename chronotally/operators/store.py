@@ -9,33 +9,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import intervals
+from ..functions import intervals, masks
 from ..plans.model import Registry, StatConfig
-from .rollup import COLUMNS, KEYS, SCHEMA, TAGS, checkpointed, merge
+from .rollup import COLUMNS, KEYS, MEASURES, SCHEMA, TAGS, TASK_BYTES, checkpointed, merge, small_tasks
 
 PARTITIONS = ["store", "stat_uuid", "row_bucket"]
-#: About so many partials are merged, or sorted and written, by one task, and so many bytes of stored files are read by one that merges.
-ROWS, READ_BYTES = 200_000, 8 << 20
+#: About so many partials are merged, or sorted and written, by one task of compaction.
+ROWS = 200_000
 
 
 class BatchExists(ValueError):
     """A batch of that number is in the store."""
 
 
-def write_batch(partials: DataFrame, root: str, batch_id: int) -> None:
-    """Writes one batch; writing it again replaces it, so a batch that is retried counts once.
+def write_batch(partials: DataFrame, root: str, batch_id: int, tags: int = masks.MAX_TAGS) -> None:
+    """Writes one batch; writing it again replaces it, so a batch that is retried counts once. No statistic in it has more
+    than so many tags; columns of others are not written, and read as nulls.
+
+    Rows are computed once and shuffled once, by what they are partitioned by and mask. Spark splits large shares of that, so
+    many tasks write a large statistic's block, and one with a single bucket, too; small ones go together."""
+    spark, path = partials.sparkSession, f"{root.rstrip('/')}/batch_id={batch_id}"
+    finish(spark, root)
+    if spark.conf.get("spark.sql.adaptive.enabled") != "true":  # the hint would do nothing
+        return _write(partials, path)
+    rows = partials.select(*PARTITIONS, "mask", "bucket_ms", *TAGS[:tags], *MEASURES)
+    with small_tasks(spark):
+        _save(rows.hint("rebalance", *PARTITIONS, "mask").sortWithinPartitions(*PARTITIONS, "mask", "bucket_ms", *TAGS[: min(tags, 3)]), path)
 
-    Rows are computed once and written to the checkpoint folder. They are dealt by what they are partitioned by, by bucket
-    and by tags, so many tasks write a large statistic's block, and one with a single bucket, too."""
-    finish(partials.sparkSession, root)
-    _write(partials, f"{root.rstrip('/')}/batch_id={batch_id}")
+
+def _save(dealt: DataFrame, path: str) -> None:
+    dealt.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
 
 
 def _write(partials: DataFrame, path: str) -> None:
+    """Rows are written to the checkpoint folder first and counted there, and dealt by ranges of about ROWS rows."""
     order = [*PARTITIONS, "mask", "bucket_ms", *TAGS[:3]]
     rows = checkpointed(partials.select(*COLUMNS))
-    dealt = rows.repartitionByRange(_tasks(rows), *order).sortWithinPartitions(*order)
-    dealt.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    _save(rows.repartitionByRange(_tasks(rows), *order).sortWithinPartitions(*order), path)
 
 
 def _tasks(rows: DataFrame) -> int:
@@ -46,7 +56,7 @@ def _merged(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
     """One partial for each key of the stored files. Rows of a batch have different keys already, so they are dealt before
     they are merged, and no task gathers what it has read: many partials lie in few bytes, so tasks are cut by rows."""
     own = spark.newSession()
-    own.conf.set("spark.sql.files.maxPartitionBytes", READ_BYTES)
+    own.conf.set("spark.sql.files.maxPartitionBytes", TASK_BYTES)
     rows = own.read.schema(SCHEMA + ", batch_id long").option("basePath", base).parquet(*paths).select(*COLUMNS)
     keys = [*KEYS, "row_bucket"]
     return merge(rows.repartition(_tasks(rows), *keys), keys)

@@ -203,7 +203,7 @@ def _root(spark: SparkSession) -> str:
 def purge_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry, root = Registry.of(VALUE), _root(spark)
     good = validate.good(validate.validate(_events(spark, sf_dir), registry))
-    store.write_batch(rollup.fan_out(rollup.cascade(rollup.base(good, NOW - 8 * DAY)), registry), root, 0)
+    store.write_batch(rollup.fan_out(rollup.cascade(rollup.base(good, NOW - 8 * DAY)), registry), root, 0, len(TAGS))
     store.purge_old(spark, root, NOW)
     return store.read(spark, root).where("mask = 0").groupBy("store").agg(F.sum("cnt").alias("n"))
 
@@ -213,7 +213,7 @@ def partials_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry, root = Registry.of(VALUE), _root(spark)
     rows = _events(spark, sf_dir).withColumn("part", F.pmod(F.get("ids", F.lit(0)).cast("long"), F.lit(3)))
     for part in (0, 1, 2, 1):
-        store.write_batch(_partials(rows.where(F.col("part") == part).drop("part"), VALUE), root, part)
+        store.write_batch(_partials(rows.where(F.col("part") == part).drop("part"), VALUE), root, part, len(TAGS))
     request = {"source_uuid": VALUE.uuid, "expression": _at(precision="DAY"), "fields": [*MEASURED, _field("event_type")]}
     return search.search(store.read(spark, root), registry, request, NOW)
 
@@ -222,7 +222,7 @@ def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, to = _root(spark), _root(spark)
     rows = _events(spark, sf_dir).withColumn("part", F.pmod(F.get("ids", F.lit(0)).cast("long"), F.lit(2)))
     for part in (0, 1):
-        store.write_batch(_partials(rows.where(F.col("part") == part).drop("part"), VALUE), root, part)
+        store.write_batch(_partials(rows.where(F.col("part") == part).drop("part"), VALUE), root, part, len(TAGS))
     store.compact(spark, root, to)
     kept = store.read(spark, to)
     return kept.groupBy("store", "mask").agg(F.count("*").alias("cells"), F.sum("cnt").alias("n"))
@@ -235,7 +235,7 @@ def compacted_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (0, 1, 2, 3):
         if part == 3:
             store.compact_in_place(spark, root)
-        store.write_batch(_partials(rows.where(F.col("part") == part).drop("part"), VALUE), root, part)
+        store.write_batch(_partials(rows.where(F.col("part") == part).drop("part"), VALUE), root, part, len(TAGS))
     request = {"source_uuid": VALUE.uuid, "expression": _at(precision="HOUR"), "fields": [*MEASURED, _field("event_type")]}
     return search.search(store.read(spark, root), registry, request, NOW)
 
@@ -243,7 +243,7 @@ def compacted_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A week of two tag values from the stored files: one grain, one mask and two blocks of them are read."""
     root = _root(spark)
-    store.write_batch(_partials(_events(spark, sf_dir), VALUE), root, 0)
+    store.write_batch(_partials(_events(spark, sf_dir), VALUE), root, 0, len(TAGS))
     request = {"source_uuid": VALUE.uuid, "expression": _at(WEEK, term("event_type", "IN", "click,view"), term("user", "IN", "1,2,3,4,5,6,7,8,9")), "fields": [*MEASURED, _field("event_type"), _field("user")]}
     return search.search(store.read(spark, root), Registry.of(VALUE), request, NOW)
 
@@ -274,7 +274,7 @@ def purge_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two statistics are stored and all data of one are dropped."""
     root, both = _root(spark), Registry.of(VALUE, COUNT)
     rows = _events(spark, sf_dir).unionByName(_events(spark, sf_dir, COUNT))
-    store.write_batch(rollup.partials_of(validate.good(validate.validate(rows, both)), both, NOW), root, 0)
+    store.write_batch(rollup.partials_of(validate.good(validate.validate(rows, both)), both, NOW), root, 0, len(TAGS))
     store.purge_all(spark, root, [VALUE.uuid])
     return store.read(spark, root).where("mask = 0").groupBy("stat_uuid", "store").agg(F.sum("cnt").alias("n"))
 

@@ -17,7 +17,7 @@ def ingest_batch(events: DataFrame, registry: Registry, root: str, bad_root: str
 
     No watermark: partials merge whenever they come, and lateness only chooses a coarser grain."""
     checked = validate.validate(events, registry)
-    store.write_batch(rollup.partials_of(validate.good(checked), registry, now_ms, retention), root, batch_id)
+    store.write_batch(rollup.partials_of(validate.good(checked), registry, now_ms, retention), root, batch_id, rollup.widest(registry))
     validate.bad(checked).write.mode("overwrite").parquet(f"{bad_root.rstrip('/')}/batch_id={batch_id}")
 
 

@@ -312,6 +312,35 @@ def test_compaction_deals_rows_before_it_merges(spark, tmp_path, monkeypatch):
     assert merged.rdd.getNumPartitions() == stored // 100 + 1 > 2 and plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
 
 
+def test_what_is_written_has_small_tasks_and_no_sampling(spark, tmp_path, monkeypatch):
+    """Rows of a batch are shuffled once more and not written twice; tasks are cut by TASK_BYTES, and settings are put back."""
+    monkeypatch.setattr(rollup, "TASK_BYTES", 10_000)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    set_before = [spark.conf.get(n, None) for n in names]
+    seen, save, checkpointed = [], store._save, store.checkpointed
+    monkeypatch.setattr(store, "_save", lambda dealt, path: seen.append(dealt) or save(dealt, path))
+    monkeypatch.setattr(store, "checkpointed", lambda df: seen.append(df) or checkpointed(df))
+    engine = Engine(spark, BOTH, str(tmp_path / "s"), NOW)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or there is one task, which cannot be split
+    try:
+        engine.ingest(sample(spark), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(seen) == 1 and "REBALANCE_PARTITIONS_BY_COL" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    seconds = list((tmp_path / "s" / "batch_id=0" / "store=SECOND").rglob("*.parquet"))
+    assert len({p.parent for p in seconds}) == 1 and len(seconds) > 4  # one block, by more tasks than it has shares
+    assert "tag_3" not in spark.read.parquet(str(seconds[0])).columns and engine.partials().where("tag_3 is not null").isEmpty()
+    assert engine.partials().where("store = 'FOREVER' and mask = 7").first()["cnt"] == 12_000
+    assert [spark.conf.get(n, None) for n in names] == set_before
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        Engine(spark, BOTH, str(tmp_path / "t"), NOW).ingest(sample(spark), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    other = store.read(spark, str(tmp_path / "t")).select(*rollup.KEYS, "cnt")
+    assert len(seen) == 3 and other.exceptAll(engine.partials().select(*other.columns)).isEmpty() and other.count() == engine.partials().count()
+
+
 def test_wide_fan_out_has_small_tasks(spark, monkeypatch):
     name, events, seen = "spark.sql.adaptive.advisoryPartitionSizeInBytes", valid(sample(spark, steps=40)), []
     real, before = type(events).checkpoint, spark.conf.get(name, None)
